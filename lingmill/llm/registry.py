@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingmill.llm import decontam, langid, ngram_join, packing
+from lingmill.llm import ann, chat, decontam, langid, ngram_join, packing, tokens, urls, warc
 from lingmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,45 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
+
+
+@query("op1_warc")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, turn, role, text,
+    coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '') OVER o, '') AS context,
+    count(*) OVER o AS context_turns
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), e AS (
+  SELECT conv_id, turn, context_turns, context || '<|assistant|>' || chr(10) AS prompt, text || '<|end|>' || chr(10) AS target
+  FROM c WHERE role = 'assistant' AND text <> ''
+)
+SELECT *, length(prompt) AS train_start, length(prompt) + length(target) AS train_end FROM e
+"""
+
+
+@query("op4_chat_formatting", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.expand(table(spark, sf_dir, "conversations"))
+
+
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.filtered(pages, urls.fit(pages))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
