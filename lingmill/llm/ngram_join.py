@@ -5,8 +5,9 @@ is the global order of the n-grams. Two sets of sizes a and b with a Jaccard of
 n-grams, so that the first a - o + c of one and the first b - o + c of the other share at least c (SUBSET). Of these
 prefixes only the first k are kept, where k is the least number that finds a pair at the threshold itself with
 probability RECALL (more alike pairs are more certain; sets of up to about 2k n-grams are handled exactly); k doesn't
-depend on the data. n-grams that no other prefix has can't make a pair and are dropped, and with them nearly all
-sets without partners.
+depend on the data. Before that, sets that can't have a partner leave: of its first SKETCH n-grams a set with a partner
+shares, with probability RECALL, as many as the binomial law says; n-grams that no other sketch has aren't shared.
+That spares the join nearly all documents that only have a common passage.
 
 What is left is the heavy-light join: sets of at most x left n-grams (light) enumerate all their subsets of c n-grams
 and meet in equal subsets; larger sets (heavy) scan the inverted lists of their n-grams and meet all sets, light ones
@@ -41,6 +42,7 @@ N = 3
 THRESHOLD = 0.5
 SUBSET = 2
 RECALL = 0.999
+SKETCH = 48
 TILE_PAIRS = 1 << 20
 TILE_BYTES = 16 << 20
 
@@ -55,6 +57,17 @@ def prefix_length(threshold=THRESHOLD, subset=SUBSET, recall=RECALL) -> int:
     return k
 
 
+def least_shared(sketch=SKETCH, threshold=THRESHOLD, recall=RECALL) -> int:
+    """The most c so that of the union's first `sketch` n-grams a pair at the threshold shares c or more with probability `recall`."""
+    missed, c = 0.0, 0
+    while c < sketch:
+        missed += math.comb(sketch, c) * threshold**c * (1 - threshold) ** (sketch - c)
+        if missed > 1 - recall:
+            break
+        c += 1
+    return max(c, 1)
+
+
 def _required(sizes: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * sizes - 1e-9))
 
@@ -83,18 +96,20 @@ def set_id(u: np.ndarray) -> np.int64:
 
 
 def sketches(docs: DataFrame, n=N, threshold=THRESHOLD, subset=SUBSET, recall=RECALL, id_column="doc_id", text="text") -> DataFrame:
-    """(doc_id, sid, n, prefix): of each row with words, the set's identity, its size and its first n-grams."""
+    """(doc_id, sid, n, used, sketch): of each row with words, the set's identity, its size, the length of the prefix that is joined, and its first n-grams."""
     k = prefix_length(threshold, subset, recall)
+    size = max(SKETCH, k)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sids, sizes, prefixes = [], [], [], []
+            rows, sids, sizes, used, prefixes = [], [], [], [], []
             for row, u in sets_of(batch.column(1), n):
                 rows.append(row)
                 sids.append(set_id(u))
                 sizes.append(len(u))
                 o = max(_required(len(u), threshold), min(subset, len(u)))
-                prefixes.append(u[: min(k, len(u) - o + subset)].view(np.int64))
+                used.append(min(k, len(u) - o + subset))
+                prefixes.append(u[:size].view(np.int64))
             offsets = np.zeros(len(prefixes) + 1, np.int32)
             np.cumsum([len(p) for p in prefixes], out=offsets[1:])
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
@@ -103,20 +118,30 @@ def sketches(docs: DataFrame, n=N, threshold=THRESHOLD, subset=SUBSET, recall=RE
                     batch.column(0).take(pa.array(rows, pa.int64())),
                     pa.array(sids, pa.int64()),
                     pa.array(sizes, pa.int32()),
+                    pa.array(used, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                [id_column, "sid", "n", "prefix"],
+                [id_column, "sid", "n", "used", "sketch"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column), F.col(text)).mapInArrow(made, f"{id_column} {kind}, sid long, n int, prefix array<long>")
+    return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column), F.col(text)).mapInArrow(made, f"{id_column} {kind}, sid long, n int, used int, sketch array<long>")
 
 
-def live_sets(sets: DataFrame) -> DataFrame:
-    """(sid, n, grams, scan): of each set the prefix n-grams that others have too, and the entries of their inverted lists."""
-    postings = sets.select("sid", "n", F.explode("prefix").alias("gram"))
-    shared = postings.groupBy("gram").agg(F.count("*").alias("len")).where("len > 1")
-    return postings.join(shared, "gram").groupBy("sid", "n").agg(F.array_sort(F.collect_list("gram")).alias("grams"), F.sum("len").alias("scan"))
+def live_sets(sets: DataFrame, threshold=THRESHOLD, recall=RECALL) -> DataFrame:
+    """(sid, n, grams, scan): of sets that can have a partner, hashes of the prefix n-grams that others of them have too, and the entries of these n-grams' inverted lists.
+
+    Two rounds: what shared n-grams with none but sets that left is found out in the second.
+    """
+    postings = sets.select("sid", "n", "used", F.posexplode("sketch").alias("pos", "gram"))
+    need = F.least(F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(threshold) - 1e-9)), F.lit(least_shared(SKETCH, threshold, recall)))
+    for _ in range(2):
+        shared = postings.groupBy("gram").agg(F.count("*").alias("len")).where("len > 1")
+        grouped = postings.join(shared, "gram").groupBy("sid", "n", "used").agg(F.sort_array(F.collect_list(F.struct("pos", "gram", "len"))).alias("g"))
+        kept = written(grouped.where(F.size("g") >= need), "live")
+        postings = kept.select("sid", "n", "used", F.inline("g")).drop("len")
+    used = F.filter("g", lambda x: x["pos"] < F.col("used"))
+    return kept.select("sid", "n", F.transform(used, lambda x: F.hash(x["gram"])).alias("grams"), F.aggregate(used, F.lit(0).cast("long"), lambda t, x: t + x["len"]).alias("scan"))
 
 
 def boundary(live: DataFrame, subset=SUBSET) -> int:
@@ -128,51 +153,62 @@ def boundary(live: DataFrame, subset=SUBSET) -> int:
 
 
 def _subsets(subset: int) -> str:
-    """SQL: all subsets of that many elements of the sorted array `grams`, each as struct(gram, key): its first element and hash."""
+    """SQL: all subsets of that many elements of the array `grams`, in its order, each as array<int>."""
     if subset == 1:
-        return "transform(grams, g -> struct(g AS gram, xxhash64(g) AS key))"
+        return "transform(grams, g -> array(g))"
     if subset == 2:
-        return (
-            "flatten(transform(sequence(1, size(grams) - 1), i -> transform(slice(grams, i + 1, size(grams)), "
-            "h -> struct(element_at(grams, i) AS gram, xxhash64(element_at(grams, i), h) AS key))))"
-        )
+        return "flatten(transform(sequence(1, size(grams) - 1), i -> transform(slice(grams, i + 1, size(grams)), h -> array(element_at(grams, i), h))))"
     if subset == 3:
         return (
             "flatten(flatten(transform(sequence(1, size(grams) - 2), i -> transform(sequence(i + 1, size(grams) - 1), j -> "
-            "transform(slice(grams, j + 1, size(grams)), h -> struct(element_at(grams, i) AS gram, "
-            "xxhash64(element_at(grams, i), element_at(grams, j), h) AS key))))))"
+            "transform(slice(grams, j + 1, size(grams)), h -> array(element_at(grams, i), element_at(grams, j), h))))))"
         )
     raise ValueError("subsets have 1 to 3 n-grams")
 
 
-def _meet(left: DataFrame, right: DataFrame, threshold: float, ordered: bool) -> DataFrame:
-    """(a, b, gram) for rows (key, sid, n, gram) that meet in a key, where the sizes allow the threshold."""
-    a = left.select("key", F.col("sid").alias("sa"), F.col("n").alias("na"), "gram")
-    b = right.select("key", F.col("sid").alias("sb"), F.col("n").alias("nb"))
-    met = a.join(b, "key").where((F.col("sa") < F.col("sb")) if ordered else (F.col("sa") != F.col("sb")))
-    met = met.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9))
-    return met.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), "gram")
+def _met(keys: DataFrame, threshold: float, subset: int) -> DataFrame:
+    """(a, b, gram) for rows (key, sid, n, grams) that meet in a key, once for each pair: in the first of the keys they share.
+
+    gram: the first n-gram that the pair shares.
+    """
+    a = keys.select("key", F.col("sid").alias("sa"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    b = keys.select("key", F.col("sid").alias("sb"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    both = a.join(b, "key").where("sa < sb")
+    both = both.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9))
+    common = F.array_intersect("ga", "gb")
+    both = both.where(F.slice(common, 1, subset) == F.col("key"))
+    return both.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), F.element_at(common, 1).alias("gram"))
 
 
 def candidates(sets: DataFrame, live: DataFrame, x: int, threshold=THRESHOLD, subset=SUBSET) -> DataFrame:
-    """(a, b, gram): pairs of sets that share `subset` prefix n-grams, and the first they were met in."""
+    """(a, b, gram): pairs of sets that share `subset` prefix n-grams, and the first they share."""
     c = subset
-    light = live.where((F.size("grams") <= x) & (F.size("grams") >= c))
-    keys = light.select("sid", "n", F.explode(F.expr(_subsets(c))).alias("s")).select("sid", "n", "s.gram", "s.key")
-    found = _meet(keys, keys, threshold, True).groupBy("a", "b").agg(F.min("gram").alias("gram"))
-    heavy = live.where((F.size("grams") > x) & (F.size("grams") >= c)).select("sid", "n", F.explode("grams").alias("gram")).withColumn("key", F.col("gram"))
-    lists = live.select("sid", "n", F.explode("grams").alias("gram")).withColumn("key", F.col("gram"))
-    # two heavy sets meet from both sides: each shared n-gram counts once
-    scanned = _meet(heavy, lists, threshold, False).distinct().groupBy("a", "b").agg(F.count("*").alias("n"), F.min("gram").alias("gram")).where(F.col("n") >= c).drop("n")
+    enough = live.where(F.size("grams") >= c)
+    light = enough.where(F.size("grams") <= x)
+    keys = light.select("sid", "n", "grams", F.explode(F.expr(_subsets(c))).alias("key"))
+    parts = [_met(keys, threshold, c)]
+    heavy = enough.where(F.size("grams") > x)
+    if not heavy.isEmpty():
+        scanning = heavy.select("sid", "n", "grams", F.explode("grams").alias("g")).select("sid", "n", "grams", F.array("g").alias("key"))
+        lists = enough.select("sid", "n", "grams", F.explode("grams").alias("g")).select("sid", "n", "grams", F.array("g").alias("key"))
+        a = scanning.select("key", F.col("sid").alias("sa"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+        b = lists.select("key", F.col("sid").alias("sb"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+        common = F.array_intersect("ga", "gb")
+        # two heavy sets would meet from both sides: the lesser one scans
+        first = (F.col("sa") < F.col("sb")) | ((F.col("sa") != F.col("sb")) & (F.size("gb") <= x))
+        alike = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)
+        scanned = a.join(b, "key").where(first & alike).where((F.size(common) >= c) & (F.slice(common, 1, 1) == F.col("key")))
+        parts.append(scanned.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), F.element_at(F.col("key"), 1).alias("gram")))
     # sets so small that fewer than c shared n-grams can do
     tiny = [s for s in range(1, c * 8 + 8) if _required(s, threshold) < c]
-    few = sets.where(F.col("n").isin(tiny)).select("sid", "n", F.explode("prefix").alias("gram")).withColumn("key", F.col("gram"))
-    small_ones = _meet(few, few, threshold, True).groupBy("a", "b").agg(F.min("gram").alias("gram"))
-    parts = [found, small_ones] if live.where(F.size("grams") > x).isEmpty() else [found, scanned, small_ones]
+    if tiny:
+        few = sets.where(F.col("n").isin(tiny)).select("sid", "n", F.transform("sketch", lambda g: F.hash(g)).alias("grams"))
+        few = few.select("sid", "n", "grams", F.explode("grams").alias("g")).select("sid", "n", "grams", F.array("g").alias("key"))
+        parts.append(_met(few, threshold, 1))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return both.groupBy("a", "b").agg(F.min("gram").alias("gram"))
+    return both.groupBy("a", "b").agg(F.min("gram").alias("gram")) if len(parts) > 1 else both
 
 
 def tiled(pairs: DataFrame, buckets: int, tile_pairs=TILE_PAIRS) -> DataFrame:
@@ -227,8 +263,8 @@ def similar_sets(docs: DataFrame, n=N, threshold=THRESHOLD, subset=SUBSET, recal
     at_most: a boundary to use in place of the one of least cost.
     """
     sketched = written(sketches(docs, n, threshold, subset, recall, id_column, text), "sketches")
-    sets = sketched.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(id_column).alias("rep"))
-    live = written(live_sets(sets), "live")
+    sets = sketched.groupBy("sid").agg(F.first("n").alias("n"), F.first("used").alias("used"), F.first("sketch").alias("sketch"), F.min(id_column).alias("rep"))
+    live = live_sets(sets, threshold, recall)
     x = boundary(live, subset) if at_most is None else at_most
     pairs = written(candidates(sets, live, x, threshold, subset), "candidates")
     total = live.agg(F.sum("n")).first()[0] or 0
@@ -262,10 +298,15 @@ def similar_sets(docs: DataFrame, n=N, threshold=THRESHOLD, subset=SUBSET, recal
 def jaccard_pairs(docs: DataFrame, n=N, threshold=THRESHOLD, subset=SUBSET, recall=RECALL, id_column="doc_id", text="text", at_most: int | None = None) -> DataFrame:
     """(a, b, jaccard): every pair of different doc_ids, a < b, whose texts' n-gram sets have at least that Jaccard."""
     members, pairs = similar_sets(docs, n, threshold, subset, recall, id_column, text, at_most)
+    members = written(members, "members")
+    rows, ids = members.agg(F.count("*"), F.count_distinct(id_column)).first()
+    members = small(members, rows, 32)
     first, second = members.select(F.col("sid").alias("a"), F.col(id_column).alias("ida")), members.select(F.col("sid").alias("b"), F.col(id_column).alias("idb"))
     between = pairs.join(first, "a").join(second, "b").where("ida != idb").select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"), "jaccard")
     within = first.join(second, F.col("a") == F.col("b")).where("ida < idb").select(F.col("ida").alias("a"), F.col("idb").alias("b"), F.lit(1.0).alias("jaccard"))
-    return within.unionByName(between).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    found = within.unionByName(between)
+    # only a doc_id with several texts can meet another one twice
+    return found if rows == ids else found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
