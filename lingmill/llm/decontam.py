@@ -115,13 +115,20 @@ def patterns(benchmark: DataFrame, columns: list[str], item="item_id", window=WI
 
 
 def parts(found: dict[str, list], limit=LIMIT) -> list[dict[str, list]]:
+    """The patterns in parts of about `limit` characters; all windows of an item are in one of them."""
+    by: dict = {}
+    for k, items in found.items():
+        for x in items:
+            by.setdefault(x, []).append(k)
     out, size = [{}], 0
-    for k in sorted(found):
-        if size + len(k) > limit and out[-1]:
+    for x, windows in by.items():
+        chars = sum(map(len, windows))
+        if size + chars > limit and size:
             out.append({})
             size = 0
-        out[-1][k] = found[k]
-        size += len(k)
+        for k in windows:
+            out[-1].setdefault(k, []).append(x)
+        size += chars
     return out
 
 

@@ -9,7 +9,7 @@ counted.
 The filter is a multinomial naive Bayes model of two classes over host words (h:) and path tokens (p:, numbers as #).
 Its training labels come from `seeds`, terms of unwanted hosts (a parameter): a URL is unwanted if one of its separated
 host tokens is a seed. The model is fitted on all pages, keeps tokens of at least `min_share`, and generalises to hosts
-that share words but have no separators or other terms.
+that share words but have no separators or other terms. Tokens that it doesn't know say nothing.
 
 Defined results: a null, empty or hostless URL has a null host and score and isn't blocked; nulls elsewhere change
 nothing; scores of equal hosts and paths are equal; repeated rows are scored each; an empty table gives an empty result;
@@ -107,7 +107,6 @@ class Model:
     words: dict[str, float]
     unknown: float
     weights: dict[str, float]  # log odds of each token
-    unseen: float
     prior: float | None  # None: nothing is ever blocked
     seeds: frozenset[str]
 
@@ -153,12 +152,12 @@ def fit(pages: DataFrame, url="url", html="html", seeds=SEEDS, min_share=MIN_SHA
     rest = summed.where("token <> ''")
     total = rest.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     if not first or not first["good"] or not first["bad"]:
-        return Model(words, unknown, {}, 0.0, None, wanted)
+        return Model(words, unknown, {}, None, wanted)
     kept = rest.where(F.col("good") + F.col("bad") >= min_share * (total["good"] + total["bad"])).toArrow()
     good, bad = (total["good"] or 0) + alpha * (len(kept) + 1), (total["bad"] or 0) + alpha * (len(kept) + 1)
     odds = lambda b, g: math.log((b + alpha) / bad) - math.log((g + alpha) / good)
     weights = {t: odds(b, g) for t, b, g in zip(kept["token"].to_pylist(), kept["bad"].to_pylist(), kept["good"].to_pylist())}
-    return Model(words, unknown, weights, odds(0, 0), math.log(first["bad"] / first["good"]), wanted)
+    return Model(words, unknown, weights, math.log(first["bad"] / first["good"]), wanted)
 
 
 def filtered(pages: DataFrame, model: Model, id_column="page_id", url="url") -> DataFrame:
@@ -167,7 +166,7 @@ def filtered(pages: DataFrame, model: Model, id_column="page_id", url="url") ->
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cut, weight, unseen = Segmenter(m.words, m.unknown), m.weights.get, m.unseen
+        cut, weight = Segmenter(m.words, m.unknown), m.weights.get
         for batch in batches:
             hosts, split, scores, blocked = [], [], [], []
             for u in batch.column(1):
@@ -175,7 +174,7 @@ def filtered(pages: DataFrame, model: Model, id_column="page_id", url="url") ->
                 hosts.append(found and found[0])
                 words = cut(found[0]) if found else None
                 split.append(words and " ".join(words))
-                score = sum((weight(t, unseen) for t in tokens(words, found[1])), m.prior) if found and m.prior is not None else None
+                score = sum((weight(t, 0.0) for t in tokens(words, found[1])), m.prior) if found and m.prior is not None else None
                 scores.append(score)
                 blocked.append(score is not None and score > 0)
             yield pa.RecordBatch.from_arrays(
