@@ -1,6 +1,6 @@
 """Perplexity under an interpolated modified Kneser-Ney trigram model of the corpus.
 
-A document is <s> <s> w1 ... wn </s>, its words lower-cased runs of letters, digits and underscores, by 64-bit hashes.
+A document is <s> <s> w1 ... wn </s>, its words lower-cased runs of letters, digits and underscores, by 48-bit hashes.
 Counting: tasks count the trigrams of a few million words at a time in numpy and send them, packed with a dictionary, to
 the task of the middle word v. There all of (u, v) and all of (v, w) meet, so that one exchange gives the trigram counts,
 the contexts' totals and the continuation counts N1+(. v w). Middle words too frequent for one task (by their share in
@@ -42,11 +42,12 @@ from lingmill.llm.common import new_path, written
 from lingmill.llm.textvec import GOLDEN, codepoints, lowered, mix, slices, words
 
 BOS, EOS = np.uint64(1), np.uint64(2)
-FLUSH_WORDS = 3 << 20
+FLUSH_WORDS = 5 << 20
 SHARD_WORDS = 2 << 20
 UNIGRAM_WORDS = 1 << 27
 SAMPLE_DOCS = 20_000
 _BITS = 21
+_WORD = np.uint64(0xFFFFFFFFFFFF0000)  # the bits that tell words apart: the others would only fill the exchange
 _MASK = np.uint64((1 << _BITS) - 1)
 
 
@@ -70,7 +71,7 @@ def documents(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         out = np.full(int(begin[-1]), BOS, np.uint64)
         some = counts > 0
         out[begin[1:][some] - 1] = EOS
-        out[np.arange(len(hashes)) + np.repeat(begin[:-1] + 2 - before[:-1], counts)] = hashes
+        out[np.arange(len(hashes)) + np.repeat(begin[:-1] + 2 - before[:-1], counts)] = hashes & _WORD
         yield at, out, begin
 
 
@@ -141,9 +142,22 @@ class Layout:
 def counted(layout: Layout, stream: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """(shard, role, blob of v, u, w, count) of the trigrams that end at the places. Roles: 0 both, 1 trigrams, 2 continuations."""
     vocabulary, code = np.unique(stream, return_inverse=True)
-    code = code.astype(np.uint64)
-    b = np.uint64(_BITS)
-    keys, counts = np.unique((code[place - 1] << (b + b)) | (code[place - 2] << b) | code[place], return_counts=True)
+    if len(vocabulary) > 1 << _BITS:  # more than a key has room for: halves
+        half = len(place) // 2
+        base = place[half] - 2
+        del vocabulary, code
+        yield from counted(layout, stream[: place[half - 1] + 1], place[:half])
+        yield from counted(layout, stream[base:], place[half:] - base)
+        return
+    code, b = code.view(np.uint64), np.uint64(_BITS)
+    keys = code[place - 1]
+    for other in (place - 2, place):
+        keys <<= b
+        keys |= code[other]
+    del stream, code, place, other
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts, keys = np.diff(first, append=len(keys)), keys[first]
     v, u, w = (keys >> (b + b)).astype(np.int64), ((keys >> b) & _MASK).astype(np.int64), (keys & _MASK).astype(np.int64)
     parts = layout.parts_of(vocabulary)[v]
     hot = parts > 1
@@ -373,7 +387,7 @@ class Model:
 
 
 def _hot_words(docs: DataFrame, rows: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words that are over a quarter of a shard's share, by a sample of documents."""
+    """Words that are over half a shard's share, by a sample of documents."""
     share = min(1.0, SAMPLE_DOCS / max(rows, 1))
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
 
@@ -385,13 +399,13 @@ def _hot_words(docs: DataFrame, rows: int, shards: int) -> tuple[np.ndarray, np.
 
     found = written(sample.mapInArrow(counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "sample")
     total = found.agg(F.sum("n")).first()[0] or 0
-    # at most 4 * shards words have such a share
-    top = found.where(F.col("n") * (4 * shards) > total).toArrow() if total and shards > 1 else None
+    # at most 2 * shards words have such a share
+    top = found.where(F.col("n") * (2 * shards) > total).toArrow() if total and shards > 1 else None
     if not top:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     hot, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(hot)
-    return hot[order], np.ceil(4 * n[order] * shards / total).astype(np.uint64) + np.uint64(1)
+    return hot[order], np.ceil(2 * n[order] * shards / total).astype(np.uint64) + np.uint64(1)
 
 
 def fit(docs: DataFrame, text="text", shard_words=SHARD_WORDS, flush_words=FLUSH_WORDS) -> Model | None:
@@ -406,7 +420,10 @@ def fit(docs: DataFrame, text="text", shard_words=SHARD_WORDS, flush_words=FLUSH
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(streams: list, places: list) -> Iterator[pa.RecordBatch]:
-            rows = list(counted(shared.value, np.concatenate(streams), np.concatenate(places)))
+            stream, place = np.concatenate(streams), np.concatenate(places)
+            streams.clear()
+            places.clear()
+            rows = list(counted(shared.value, stream, place))
             for at in range(0, len(rows), 64):
                 some = rows[at : at + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "role", "blob"])

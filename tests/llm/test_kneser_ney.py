@@ -96,6 +96,29 @@ def test_nulls_empty_long_repeated_and_clashing_columns(spark):
     assert {r["doc_id"] for r in got if r["perplexity"] is None} == {1, 2, 3}
 
 
+def test_more_words_than_a_key_holds(spark, monkeypatch):
+    rows = texts(40, 3, 300)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    plain = sorted(map(tuple, K.perplexity(docs, K.fit(docs)).collect()))
+    from pyarrow import array, large_string
+
+    _, stream, begin = next(K.documents(array(rows, large_string())))
+    layout, place = K.Layout(3, np.zeros(0, np.uint64), np.zeros(0, np.uint64)), K.targets(begin)
+
+    def total():
+        c = Counter()
+        for _, _, blob in K.counted(layout, stream, place):
+            vocabulary, (v, u, w, n) = K.unpacked(blob)
+            for key in zip(vocabulary[u], vocabulary[v], vocabulary[w], n):
+                c[key[:3]] += int(key[3])
+        return c
+
+    whole = total()
+    monkeypatch.setattr(K, "_BITS", 6)
+    monkeypatch.setattr(K, "_MASK", np.uint64(63))
+    assert total() == whole and len(plain) == 40
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = K.fit(docs)
