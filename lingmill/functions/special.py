@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -66,7 +67,7 @@ def normal_two_tailed(z) -> np.ndarray:
 def column(f: Callable) -> Callable[..., Column]:
     """A vectorised Column version of a tail: one call for an Arrow batch."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def tail(*args: pd.Series) -> pd.Series:
         with np.errstate(all="ignore"):
             return pd.Series(f(*[a.to_numpy(float, na_value=np.nan) for a in args]))
