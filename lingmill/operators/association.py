@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lingmill.functions.special import p_of_t, p_of_z, t_two_tailed
 
@@ -425,7 +426,8 @@ def corrected(results: DataFrame, method: str = "bh", p: str = "p", alpha: float
         rows = rows.withColumn("__r", F.sum((F.col("__bh") <= alpha / (1 + alpha)).cast("int")).over(every))
         out = F.when(F.col("__r") == m, F.col("__bh")).otherwise(cap(F.col("__bh") * (m - F.col("__r")) / m * (1 + alpha)))
     elif method == "hommel":
-        kind = results.schema
+        kind = StructType(list(results.schema.fields))
+        out_kind = StructType([f for f in kind.fields if f.name != "p_corrected"]).add("p_corrected", "double")
 
         def adjust(pdf: pd.DataFrame) -> pd.DataFrame:
             x = pdf["__p"].to_numpy(float)
@@ -438,9 +440,9 @@ def corrected(results: DataFrame, method: str = "bh", p: str = "p", alpha: float
                 a[: n - k] = np.maximum(a[: n - k], np.minimum(c, k * s[: n - k]))
             back = np.empty(n)
             back[order] = a
-            return pdf[[f.name for f in kind]].assign(p_corrected=back)
+            return pdf.assign(p_corrected=back)[[f.name for f in out_kind]]
 
-        return rows.groupBy("outcome").applyInPandas(adjust, kind.add("p_corrected", "double") if "p_corrected" not in kind.names else kind)
+        return rows.groupBy("outcome").applyInPandas(adjust, out_kind)
     else:
         raise ValueError(f"no correction {method}")
     return rows.withColumn("p_corrected", out).drop(*[c for c in ("__p", "__i", "__m", "__h", "__bh", "__r") if c in rows.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,7 +81,8 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 def tables(spark: SparkSession, like: str | None = None, features: bool | None = None) -> list[str]:
     """Names in the catalog, by a LIKE pattern, feature tables or others."""
-    names = [t.name for t in spark.catalog.listTables(pattern=like.replace("%", "*") if like else None)]
+    pattern = re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in like or "%"), re.I)
+    names = [t.name for t in spark.catalog.listTables() if pattern.fullmatch(t.name)]
     return sorted(n for n in names if features is None or n.startswith("feat$") == features)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lingmill.functions import text as X
 from lingmill.functions.tokenize import TOKEN, tokenize
@@ -34,7 +35,7 @@ def sentence_tokenized(messages: DataFrame, message_id="message_id", message="me
     if not per_row:
         return messages.withColumn(message, found)
     rows = messages.select("*", F.posexplode(found).alias("__n", "__sentence"))
-    return rows.withColumn(message_id, F.concat_ws("_", F.col(message_id), F.lpad(F.col("__n").cast("string"), 2, "0"))).withColumn(message, F.col("__sentence")).drop("__n", "__sentence")
+    return rows.withColumn(message_id, F.concat_ws("_", F.col(message_id), F.when(F.col("__n") < 100, F.lpad(F.col("__n").cast("string"), 2, "0")).otherwise(F.col("__n").cast("string")))).withColumn(message, F.col("__sentence")).drop("__n", "__sentence")
 
 
 def annotated(messages: DataFrame, tool: Callable[[list[str]], list[str]], message="message") -> DataFrame:
@@ -98,7 +99,7 @@ def in_languages(messages: DataFrame, identify: Callable[[list[str]], list[tuple
 
     light_english: Spanish below .95 and English above .60 count as English.
     """
-    schema = messages.schema.add("language", "string")
+    schema = StructType(list(messages.schema.fields)).add("language", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

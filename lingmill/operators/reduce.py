@@ -14,7 +14,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 
 def matrix(ft: DataFrame, feats: list[str], column: str = "group_norm", groups: DataFrame | None = None) -> DataFrame:
@@ -163,7 +163,7 @@ def without_main_components(ft: DataFrame, reducer: Reducer, d: int) -> DataFram
 
 def _mapped(ft: DataFrame, feats: list[str], f, names: list[str]) -> DataFrame:
     rows = matrix(ft, feats)
-    schema = StructType([rows.schema["group_id"]]).add("s", "array<double>")
+    schema = StructType([rows.schema["group_id"]]).add("s", ArrayType(DoubleType()))
 
     def run(batches):
         for pdf in batches:
@@ -211,7 +211,7 @@ def lda_topics(documents: DataFrame, message_id: str, tokens: str, k: int = 100,
         rows = each.groupBy(message_id).agg(F.collect_list("term").alias("words"))
     counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=min_df).fit(rows)
     x = counts.transform(rows).select(message_id, "features")
-    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", topicConcentration=beta, docConcentration=[alpha] * k if alpha else None)
+    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", topicConcentration=beta, **({"docConcentration": [alpha] * k} if alpha else {}))
     model = lda.fit(x)
     shares = model.transform(x).select(message_id, vector_to_array("topicDistribution").alias("topics"))
     terms = model.describeTopics(len(counts.vocabulary)).select(F.col("topic").cast("string").alias("category"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))

@@ -172,7 +172,7 @@ def binned(ft: DataFrame, sizes: DataFrame, bins: int) -> DataFrame:
             rows += [(x, m, start, pending[-1][0]) for x, m in pending]
         return type(pdf)(rows, columns=["group_id", "n", "lo", "hi"])
 
-    placed = axis.groupBy(F.lit(1)).applyInPandas(fold, "group_id long, n long, lo long, hi long")
+    placed = axis.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "group_id long, n long, lo long, hi long")
     about = placed.groupBy("lo", "hi").agg(F.sum("n").alias("bin_n"), (F.sum(F.col("n") * F.col("group_id")) / F.sum("n")).alias("bin_center_w"))
     rows = ft.withColumn("group_id", F.col("group_id").cast("long")).join(placed, "group_id").join(about, ["lo", "hi"])
     norm = F.col("group_norm")

@@ -37,7 +37,7 @@ def customers(spark, sf):
     ft = by.join(totals, "group_id").select("group_id", "feat", "value", (F.col("value") / F.col("t")).alias("group_norm"))
     c = table(spark, sf, "customer")
     y = O.long_outcomes(c.select("c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation")), "c_custkey", ["balance", "nation"])
-    controls = c.select(F.col("c_custkey").alias("group_id"), F.length("c_address").cast("double").alias("address"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("building"))
+    controls = c.select(F.col("c_custkey").alias("group_id"), (F.col("c_custkey") % 13).cast("double").alias("cycle"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("building"))
     return ft, y, controls
 
 
@@ -114,19 +114,19 @@ CX = "x AS (SELECT y.outcome, f.feat, y.group_id, y.y, coalesce(ft.group_norm, 0
 
 @query(
     "a4_regression",
-    f"""WITH {CFT}, {CY}, {CX}, r AS (SELECT outcome, feat, corr(x, y) AS xy, corr(x, CAST(length(c_address) AS DOUBLE)) AS xc, corr(y, CAST(length(c_address) AS DOUBLE)) AS yc, count(*) AS n FROM x JOIN customer ON c_custkey = group_id GROUP BY 1, 2)
+    f"""WITH {CFT}, {CY}, {CX}, r AS (SELECT outcome, feat, corr(x, y) AS xy, corr(x, CAST(c_custkey % 13 AS DOUBLE)) AS xc, corr(y, CAST(c_custkey % 13 AS DOUBLE)) AS yc, count(*) AS n FROM x JOIN customer ON c_custkey = group_id GROUP BY 1, 2)
     SELECT outcome, feat, 'group_norm' AS term, round((xy - xc * yc) / (1 - xc * xc), 6) AS r, n FROM r""",
 )
 def a4(spark, sf):
     ft, y, c = customers(spark, sf)
-    return _rounded(A.regression(ft, y, c, ["address"]).select("outcome", "feat", "term", "r", "n"), "r", digits=6)
+    return _rounded(A.regression(ft, y, c, ["cycle"]).select("outcome", "feat", "term", "r", "n"), "r", digits=6)
 
 
-@query("a5_rank_regression", f"""WITH {CFT}, {CY}, {CX}, k AS (SELECT outcome, feat, {RANK.format('outcome, feat', 'x')} AS x, {RANK.format('outcome, feat', 'y')} AS y, rank() OVER (PARTITION BY outcome, feat ORDER BY length(c_address)) + (count(*) OVER (PARTITION BY outcome, feat, length(c_address)) - 1) / 2 AS c FROM x JOIN customer ON c_custkey = group_id),
+@query("a5_rank_regression", f"""WITH {CFT}, {CY}, {CX}, k AS (SELECT outcome, feat, {RANK.format('outcome, feat', 'x')} AS x, {RANK.format('outcome, feat', 'y')} AS y, rank() OVER (PARTITION BY outcome, feat ORDER BY c_custkey % 13) + (count(*) OVER (PARTITION BY outcome, feat, c_custkey % 13) - 1) / 2 AS c FROM x JOIN customer ON c_custkey = group_id),
     r AS (SELECT outcome, feat, corr(x, y) AS xy, corr(x, c) AS xc, corr(y, c) AS yc, count(*) AS n FROM k GROUP BY 1, 2) SELECT outcome, feat, round((xy - xc * yc) / (1 - xc * xc), 6) AS r, n FROM r""")
 def a5(spark, sf):
     ft, y, c = customers(spark, sf)
-    return _rounded(A.regression(ft, y, c, ["address"], ranks=True).select("outcome", "feat", "r", "n"), "r", digits=6)
+    return _rounded(A.regression(ft, y, c, ["cycle"], ranks=True).select("outcome", "feat", "r", "n"), "r", digits=6)
 
 
 @query("a6_logistic")
@@ -146,7 +146,7 @@ def a7(spark, sf):
 @query("a8_interactions")
 def a8(spark, sf):
     ft, y, c = customers(spark, sf)
-    return A.regression(ft, y, c, ["address", "building"], ["building"])
+    return A.regression(ft, y, c, ["cycle", "building"], ["building"])
 
 
 @query(
@@ -191,13 +191,13 @@ def a12(spark, sf):
 
 @query(
     "a13_control_combinations",
-    f"""WITH {CFT}, {CY}, {CX}, r AS (SELECT outcome, feat, corr(x, y) AS xy, corr(x, c) AS xc, corr(y, c) AS yc, corr(x, b) AS xb, corr(y, b) AS yb, corr(c, b) AS cb, count(*) AS n FROM (SELECT x.*, CAST(length(c_address) AS DOUBLE) AS c, CAST(c_mktsegment = 'BUILDING' AS INTEGER)::DOUBLE AS b FROM x JOIN customer ON c_custkey = group_id) GROUP BY 1, 2)
-    SELECT '' AS controls, outcome, feat, round(xy, 6) AS r, n FROM r UNION ALL SELECT 'address', outcome, feat, round((xy - xc * yc) / (1 - xc * xc), 6), n FROM r UNION ALL SELECT 'building', outcome, feat, round((xy - xb * yb) / (1 - xb * xb), 6), n FROM r
-    UNION ALL SELECT 'address building', outcome, feat, round((xy * (1 - cb * cb) - xc * (yc - yb * cb) - xb * (yb - yc * cb)) / (1 - cb * cb - xc * xc - xb * xb + 2 * xc * xb * cb), 6), n FROM r""",
+    f"""WITH {CFT}, {CY}, {CX}, r AS (SELECT outcome, feat, corr(x, y) AS xy, corr(x, c) AS xc, corr(y, c) AS yc, corr(x, b) AS xb, corr(y, b) AS yb, corr(c, b) AS cb, count(*) AS n FROM (SELECT x.*, CAST(c_custkey % 13 AS DOUBLE) AS c, CAST(c_mktsegment = 'BUILDING' AS INTEGER)::DOUBLE AS b FROM x JOIN customer ON c_custkey = group_id) GROUP BY 1, 2)
+    SELECT '' AS controls, outcome, feat, round(xy, 6) AS r, n FROM r UNION ALL SELECT 'cycle', outcome, feat, round((xy - xc * yc) / (1 - xc * xc), 6), n FROM r UNION ALL SELECT 'building', outcome, feat, round((xy - xb * yb) / (1 - xb * xb), 6), n FROM r
+    UNION ALL SELECT 'building cycle', outcome, feat, round((xy * (1 - cb * cb) - xc * (yc - yb * cb) - xb * (yb - yc * cb)) / (1 - cb * cb - xc * xc - xb * xb + 2 * xc * xb * cb), 6), n FROM r""",
 )
 def a13(spark, sf):
     ft, y, c = customers(spark, sf)
-    return _rounded(A.control_combinations(ft, y, c, ["address", "building"]).select("controls", "outcome", "feat", "r", "n"), "r", digits=6)
+    return _rounded(A.control_combinations(ft, y, c, ["cycle", "building"]).select("controls", "outcome", "feat", "r", "n"), "r", digits=6)
 
 
 @query(
@@ -315,20 +315,20 @@ def a22(spark, sf):
 
 @query(
     "a23_mediation",
-    f"""WITH {CFT}, {CY}, {CX}, r AS (SELECT outcome, feat, corr(x, y) AS c, corr(x, m) AS alpha, corr(m, y) AS my, count(*) AS n FROM (SELECT x.*, CAST(length(c_address) AS DOUBLE) AS m FROM x JOIN customer ON c_custkey = group_id) GROUP BY 1, 2),
+    f"""WITH {CFT}, {CY}, {CX}, r AS (SELECT outcome, feat, corr(x, y) AS c, corr(x, m) AS alpha, corr(m, y) AS my, count(*) AS n FROM (SELECT x.*, CAST(c_custkey % 13 AS DOUBLE) AS m FROM x JOIN customer ON c_custkey = group_id) GROUP BY 1, 2),
     b AS (SELECT *, (my - alpha * c) / (1 - alpha * alpha) AS beta, (c - alpha * my) / (1 - alpha * alpha) AS c_prime FROM r), e AS (SELECT *, sqrt((1 - alpha * alpha) / (n - 1)) AS ea, sqrt((1 - beta * my - c_prime * c) / (n - 2) / (1 - alpha * alpha)) AS eb FROM b)
     SELECT outcome, feat, round(c, 6) AS c, round(c_prime, 6) AS c_prime, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(alpha * beta / sqrt(beta * beta * ea * ea + alpha * alpha * eb * eb), 5) AS sobel, n FROM e""",
 )
 def a23(spark, sf):
     ft, y, c = customers(spark, sf)
-    out = A.mediation(ft, y, c, "address").drop("p", "share")
+    out = A.mediation(ft, y, c, "cycle").drop("p", "share")
     return _rounded(out, "c", "c_prime", "alpha", "beta", digits=6).withColumn("sobel", F.round("sobel", 5))
 
 
 @query("a24_mediation_bootstrap")
 def a24(spark, sf):
     ft, y, c = customers(spark, sf)
-    return A.mediation_bootstrap(ft.where("feat = '1-URGENT'"), y, c, "address", samples=200)
+    return A.mediation_bootstrap(ft.where("feat = '1-URGENT'"), y, c, "cycle", samples=200)
 
 
 @query("a25_canonical_correlation")

@@ -64,7 +64,7 @@ def k11(spark, sf):
 
 @query("k12_catalog", "SELECT 'feat$kernel' AS name")
 def k12(spark, sf):
-    table(spark, sf, "region").createOrReplaceTempView("feat$kernel")
+    table(spark, sf, "region").createOrReplaceTempView("`feat$kernel`")
     return spark.createDataFrame([(n,) for n in K.tables(spark, "feat$kernel%", features=True)], "name string")
 
 

@@ -55,7 +55,7 @@ def conversation_corpus(spark: SparkSession, folder: str) -> dict[str, DataFrame
 
 def gzip_csv_messages(spark: SparkSession, path: str, id_at: int, message_at: int, group_at: int = -1) -> DataFrame:
     """(message_id, message, group_id) of a gzipped CSV without header, columns by their place, groups in upper case. All messages are read."""
-    rows = spark.read.option("escape", "\\").csv(path)
+    rows = spark.read.option("escape", "\\").option("multiLine", True).csv(path)
     at = lambda i: F.col(rows.columns[i])
     return rows.select(at(id_at).alias("message_id"), at(message_at).alias("message"), F.upper(at(group_at)).alias("group_id"))
 
