@@ -145,9 +145,9 @@ def cohens_d(ft: DataFrame, analysis: DataFrame) -> DataFrame:
     by = _rows(ft, analysis).groupBy("outcome", "feat").agg(F.sum(one).alias("s1"), F.sum(one * one).alias("q1"), F.sum(nil).alias("s0"), F.sum(nil * nil).alias("q0"), F.sum("value").alias("freq"))
     counts = analysis.groupBy("outcome").agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("int")).alias("n1"), F.sum((F.col("y") == 0).cast("int")).alias("n0"))
     s = by.join(counts, "outcome")
-    var = lambda i: (F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.col(f"n{i}")) / (F.col(f"n{i}") - 1)
+    var = lambda i: F.greatest(F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.col(f"n{i}"), F.lit(0.0)) / (F.col(f"n{i}") - 1)
     pooled = F.sqrt((var(0) + var(1)) / 2)
-    d = F.when((F.col("n1") > 1) & (F.col("n0") > 1) & (pooled > TINY), (F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")) / pooled)
+    d = F.when((F.col("n1") > 1) & (F.col("n0") > 1) & (pooled > 1e-9), (F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")) / pooled)
     return s.select("outcome", "feat", d.alias("d"), "n", "freq")
 
 
