@@ -38,11 +38,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingmill.llm.common import new_path, written
+from lingmill.llm.common import new_path, trim, written
 from lingmill.llm.textvec import GOLDEN, codepoints, lowered, mix, slices, words
 
 BOS, EOS = np.uint64(1), np.uint64(2)
-FLUSH_WORDS = 5 << 20
+FLUSH_WORDS = 4 << 20
 SHARD_WORDS = 2 << 20
 UNIGRAM_WORDS = 1 << 27
 SAMPLE_DOCS = 20_000
@@ -355,6 +355,8 @@ def merged(layout: Layout, path: str, first_hashes: list[int]):
             tables[f"c1-{i}"] = {"blob": np.frombuffer(packed(e, [np.arange(len(e)), c]), np.uint8)}
         name = put(path, tables)
         info = {"n3": n3, "n2": _of_counts(c2), "hot": hot}
+        del tables, order, first, v, w, h, c2, order2
+        trim()
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "name": [name], "info": [json.dumps(info)]})
 
     return merge
@@ -424,6 +426,8 @@ def fit(docs: DataFrame, text="text", shard_words=SHARD_WORDS, flush_words=FLUSH
             streams.clear()
             places.clear()
             rows = list(counted(shared.value, stream, place))
+            del stream, place
+            trim()
             for at in range(0, len(rows), 64):
                 some = rows[at : at + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "role", "blob"])
@@ -462,6 +466,7 @@ def fit(docs: DataFrame, text="text", shard_words=SHARD_WORDS, flush_words=FLUSH
         for x, *s in info["hot"]:
             hot[int(x)] = [a + b for a, b in zip(hot.get(int(x), [0] * 4), s)]
     names = [s["name"] for s in stats]
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column(0).to_pylist():
@@ -584,6 +589,8 @@ def perplexity(docs: DataFrame, model: Model | None, id_column="doc_id", text="t
                     count[at : at + len(n)] = n
                     done += int(ends[-1])
                 pending.clear()
+                del us, vs, ws, logs
+                trim()
 
             if scorer:
                 for item in documents(batch.column(1)):
