@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lingmill.llm.common import trim
 from lingmill.llm.textvec import codepoints, lowered, mix, slices, word_mask
 
 ORDERS = (1, 2, 3)
@@ -179,6 +180,7 @@ def identify(docs: DataFrame, model: Model, id_column="doc_id", text="text") ->
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names[label], pa.string()), pa.array(confidence), pa.array(accepted)], ["id", "label", "confidence", "accepted"]
             )
+            trim()
 
     kind = docs.schema[id_column].dataType.simpleString()
     return (
@@ -197,5 +199,6 @@ def keep_identified(docs: DataFrame, model: Model, text="text") -> DataFrame:
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array(classify(batch.column(at), m)[2]))
+            trim()
 
     return docs.mapInArrow(kept, docs.schema)

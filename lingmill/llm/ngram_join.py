@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lingmill.llm.common import small, unused, written
+from lingmill.llm.common import small, trim, unused, written
 from lingmill.llm.textvec import lowered, mix, ngram_hashes, slices, words, codepoints
 
 N = 3
@@ -123,6 +123,7 @@ def sketches(docs: DataFrame, n=N, threshold=THRESHOLD, subset=SUBSET, recall=RE
                 ],
                 [id_column, "sid", "n", "used", "sketch"],
             )
+            trim()
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column), F.col(text)).mapInArrow(made, f"{id_column} {kind}, sid long, n int, used int, sketch array<long>")
@@ -252,7 +253,10 @@ def _verify(threshold: float):
             flag[own] = 0
         jaccard = shared / (sizes[ia] + sizes[ib] - shared)
         good = jaccard >= threshold - 1e-12
-        return pd.DataFrame({"a": pairs["a"].to_numpy()[good], "b": pairs["b"].to_numpy()[good], "jaccard": jaccard[good]})
+        out = pd.DataFrame({"a": pairs["a"].to_numpy()[good], "b": pairs["b"].to_numpy()[good], "jaccard": jaccard[good]})
+        del blobs, index, code, flag, shared, jaccard, pairs, ia, ib
+        trim()
+        return out
 
     return verified
 
@@ -289,6 +293,8 @@ def similar_sets(docs: DataFrame, n=N, threshold=THRESHOLD, subset=SUBSET, recal
                     out.append(u.tobytes())
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("sid").take(take), batch.column("tiles").take(take), pa.array(out, pa.binary())], ["sid", "tiles", "grams"])
+            del out
+            trim()
 
     full = chosen.select("sid", "text", "tiles").mapInArrow(blobs, "sid long, tiles array<long>, grams binary").select("sid", F.explode("tiles").alias("tile"), "grams")
     verified = tiles.groupBy("tile").cogroup(full.groupBy("tile")).applyInPandas(_verify(threshold), "a long, b long, jaccard double")
