@@ -6,6 +6,7 @@ untimed run of the first query starts the JVM and the code generator; each query
 
 import json
 import os
+import sys
 import time
 from pathlib import Path
 
@@ -40,6 +41,7 @@ def main() -> None:
         began = time.perf_counter()
         run(name)
         took[name] = round(time.perf_counter() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": Path(sf).name.removeprefix("sf")}))
     spark.stop()
 
