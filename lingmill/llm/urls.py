@@ -2,14 +2,15 @@
 
 Host labels without separators ("cheappills") are split by unigram Viterbi: the most likely sequence of words, where a
 word's probability is its share in the pages' visible text and in the separated tokens of their URLs, and an unknown
-string of length l has that of a word never seen, falling tenfold with each character. Words below `min_share` are left
+string of length l has that of a word never seen, falling tenfold with each character. A host label without separators
+says nothing of words, however many pages it has: it isn't counted, nor where its own pages show it. Words below `min_share` are left
 out of the model: it has no more than 1 / min_share words, however large the corpus, and is broadcast. All pages are
 counted.
 
 The filter is a multinomial naive Bayes model of two classes over host words (h:) and path tokens (p:, numbers as #).
-Its training labels come from `seeds`, terms of unwanted hosts (a parameter): a URL is unwanted if one of its separated
-host tokens is a seed. The model is fitted on all pages, keeps tokens of at least `min_share`, and generalises to hosts
-that share words but have no separators or other terms. Tokens that it doesn't know say nothing.
+Its training labels come from `seeds`, terms of unwanted hosts (a parameter): a URL is unwanted if a separated token of
+its host is a seed, or a word that a token is split into. The model is fitted on all pages, keeps tokens of at least `min_share`, and generalises to hosts
+that share words but have other terms. Tokens that it doesn't know say nothing.
 
 Defined results: a null, empty or hostless URL has a null host and score and isn't blocked; nulls elsewhere change
 nothing; scores of equal hosts and paths are equal; repeated rows are scored each; an empty table gives an empty result;
@@ -47,11 +48,15 @@ def parts(url: str | None) -> tuple[str, str] | None:
     return (host, m[2].lower()) if host else None
 
 
-def host_tokens(host: str) -> list[str]:
-    """The letters between separators of all labels but the last, without common prefixes; numbers are left out."""
+def label_tokens(host: str) -> list[list[str]]:
+    """Of each label but the last, without common prefixes, the letters between separators; numbers are left out."""
     labels = host.split(".")
     labels = labels[:-1] if len(labels) > 1 else labels
-    return [t for label in labels if label not in IGNORED for t in _TOKENS.findall(label) if not t.isdigit()]
+    return [[t for t in _TOKENS.findall(label) if not t.isdigit()] for label in labels if label not in IGNORED]
+
+
+def host_tokens(host: str) -> list[str]:
+    return [t for label in label_tokens(host) for t in label]
 
 
 def path_tokens(path: str) -> list[str]:
@@ -86,13 +91,15 @@ def word_model(pages: DataFrame, url="url", html="html", min_share=MIN_SHARE) ->
         n: Counter = Counter()
         for batch in batches:
             for u, h in zip(batch.column(0), batch.column(1)):
-                found = parts(u.as_py())
+                found, whole = parts(u.as_py()), set()
                 if found:
-                    n.update(t for t in host_tokens(found[0]) if len(t) <= LONGEST)
+                    labels = label_tokens(found[0])
+                    whole = {label[0] for label in labels if len(label) == 1}
+                    n.update(t for label in labels if len(label) > 1 for t in label if len(t) <= LONGEST)
                     n.update(t for t in path_tokens(found[1]) if len(t) <= LONGEST and t != "#")
                 shown = h.as_py()
                 if shown:
-                    n.update(t for t in _TOKENS.findall(_SHOWN.sub(" ", shown).lower()) if not t.isdigit() and len(t) <= LONGEST)
+                    n.update(t for t in _TOKENS.findall(_SHOWN.sub(" ", shown).lower()) if not t.isdigit() and len(t) <= LONGEST and t not in whole)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     partial = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(counted, "word string, n long")
@@ -140,9 +147,10 @@ def fit(pages: DataFrame, url="url", html="html", seeds=SEEDS, min_share=MIN_SHA
         for batch in batches:
             for u in batch.column(0):
                 if found := parts(u.as_py()):
-                    bad = int(not wanted.isdisjoint(host_tokens(found[0])))
+                    words = cut(found[0])
+                    bad = int(not (wanted.isdisjoint(host_tokens(found[0])) and wanted.isdisjoint(words)))
                     n[("", bad)] += 1
-                    n.update((t, bad) for t in tokens(cut(found[0]), found[1]))
+                    n.update((t, bad) for t in tokens(words, found[1]))
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in n], pa.string()), pa.array([b for _, b in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["token", "bad", "n"])
 
     partial = pages.select(F.col(url).alias("url")).mapInArrow(counted, "token string, bad int, n long")

@@ -78,6 +78,14 @@ def test_unseen_concatenated_hosts(spark):
     assert [got[i]["blocked"] for i in (1, 2, 3)] == [True, True, False]
 
 
+def test_concatenated_hosts_of_many_fitted_pages(spark):
+    hot = [(1000 + i, f"http://cheappills.example.com/win/{i}", "<p>cheappills cheap pills</p>") for i in range(500)]
+    pages = site(spark).unionByName(spark.createDataFrame(hot, "page_id long, url string, html string"))
+    model = urls.fit(pages)
+    got = [r for r in urls.filtered(pages, model).collect() if r["page_id"] >= 1000]
+    assert {(r["host_words"], r["blocked"]) for r in got} == {("cheap pills example", True)} and len(got) == 500
+
+
 def test_nulls_empty_long_repeated_and_clashing_columns(spark):
     model = urls.fit(site(spark))
     rows = [(1, None, "a"), (2, "", "b"), (3, "nonsense", None), (None, "http://cheap-pills.example.com/win/1", "c"), (5, "http://" + "ab" * 2000 + ".com/x", None), (6, "http://a.b/", "d"), (6, "http://a.b/", "d")]
