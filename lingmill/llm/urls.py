@@ -3,14 +3,17 @@
 Host labels without separators ("cheappills") are split by unigram Viterbi: the most likely sequence of words, where a
 word's probability is its share in the pages' visible text and in the separated tokens of their URLs, and an unknown
 string of length l has that of a word never seen, falling tenfold with each character. A host label without separators
-says nothing of words, however many pages it has: it isn't counted, nor where its own pages show it. Words below `min_share` are left
-out of the model: it has no more than 1 / min_share words, however large the corpus, and is broadcast. All pages are
-counted.
+says nothing of words, however many pages it has: it isn't counted, nor where its own pages show it. All words
+of all pages are counted and kept.
 
 The filter is a multinomial naive Bayes model of two classes over host words (h:) and path tokens (p:, numbers as #).
 Its training labels come from `seeds`, terms of unwanted hosts (a parameter): a URL is unwanted if a separated token of
-its host is a seed, or a word that a token is split into. The model is fitted on all pages, keeps tokens of at least `min_share`, and generalises to hosts
-that share words but have other terms. Tokens that it doesn't know say nothing.
+its host is a seed, or a word that a token is split into. The model is fitted on all pages, keeps every token, and generalises to hosts that share
+words but have other terms. Tokens that it doesn't know say nothing.
+
+Storage: words and weights lie in the shared folder as sorted arrays of 128-bit hashes and a number each, in shards by the
+hash. Workers map them and look up the parts of the host names and the tokens of a batch at once, so that nothing of the
+size of the vocabulary is broadcast or reaches the driver.
 
 Defined results: a null, empty or hostless URL has a null host and score and isn't blocked; nulls elsewhere change
 nothing; scores of equal hosts and paths are equal; repeated rows are scored each; an empty table gives an empty result;
@@ -23,18 +26,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingmill.llm.common import written
+from lingmill.llm.common import new_path, written
+from lingmill.llm.kneser_ney import mapped, put
 
 SEEDS = ("spam", "casino", "pills", "bets", "ads", "porn", "xxx", "viagra", "gambling", "escort", "warez")
-MIN_SHARE = 1e-6
 LONGEST = 24
+SHARD_ROWS = 1 << 20
+ASKED = 1 << 17  # strings that are looked up at once
 IGNORED = {"www", "m", "blog"}
 _PARTS = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::\d*)?([^?#]*)", re.I)
 _TOKENS = re.compile(r"[^\W\d_]+|\d+")
@@ -84,7 +91,56 @@ def segment(name: str, logp: dict[str, float], unknown: float) -> list[str]:
     return words[::-1]
 
 
-def word_model(pages: DataFrame, url="url", html="html", min_share=MIN_SHARE) -> tuple[dict[str, float], float]:
+class Numbers:
+    """A number for each of many strings, in mapped files: names has one for each shard, or None for one without strings."""
+
+    def __init__(self, path: str, names: list[str | None]):
+        self.path, self.names, self.open = path, names, {}
+
+    def __getstate__(self):
+        return {"path": self.path, "names": self.names, "open": {}}
+
+    def found(self, strings: Iterable[str]) -> dict[str, float]:
+        """The numbers of those strings that have one."""
+        by: dict[int, list] = {}
+        for t in strings:
+            key = md5(t.encode(), usedforsecurity=False).digest()
+            by.setdefault(int.from_bytes(key[:4], "big") * len(self.names) >> 32, []).append((key, t))
+        out = {}
+        for shard, asked in by.items():
+            if self.names[shard] is None:
+                continue
+            if shard not in self.open:
+                self.open[shard] = mapped(self.path, self.names[shard])["numbers"]
+            keys, numbers = self.open[shard]["keys"], self.open[shard]["numbers"]
+            want = np.array([k for k, _ in asked], "S16")
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == want)
+            out.update((asked[i][1], x) for i, x in zip(hit.tolist(), numbers[at[hit]].tolist()))
+        return out
+
+    def get(self, string: str, default: float | None = None) -> float | None:
+        return self.found([string]).get(string, default)
+
+
+def numbers(rows: DataFrame, string: str, number: Column, count: int) -> Numbers:
+    """Writes the numbers of count rows of distinct strings."""
+    shards, path = max(1, -(-count // SHARD_ROWS)), new_path(rows.sparkSession, "numbers")
+    key = F.md5(F.col(string))  # of its UTF-8
+    shard = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * shards, 32).cast("int")
+
+    def stored(part: pa.Table) -> pa.Table:
+        keys = np.array(part["key"].to_pylist(), "S16")
+        order = np.argsort(keys)
+        name = put(path, {"numbers": {"keys": keys[order], "numbers": part["number"].to_numpy()[order]}})
+        return pa.table({"shard": part["shard"].slice(0, 1).cast(pa.int32()), "name": pa.array([name])})
+
+    keyed = rows.select(shard.alias("shard"), F.unhex(key).alias("key"), number.cast("double").alias("number"))
+    names = dict(map(tuple, written(keyed.groupBy("shard").applyInArrow(stored, "shard int, name string"), "shards").collect()))
+    return Numbers(path, [names.get(i) for i in range(shards)])
+
+
+def word_model(pages: DataFrame, url="url", html="html") -> tuple[Numbers, float]:
     """(log probability of each word, that of an unseen one), from the visible text and URL tokens of all pages."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,16 +160,16 @@ def word_model(pages: DataFrame, url="url", html="html", min_share=MIN_SHARE) ->
 
     partial = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(counted, "word string, n long")
     summed = written(partial.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = summed.agg(F.sum("n")).first()[0] or 0
-    rows = summed.where(F.col("n") >= min_share * total).toArrow()
-    return {w: math.log(n / total) for w, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist())}, -math.log(max(total, 1))
+    size = summed.agg(F.count("*").alias("words"), F.sum("n").alias("n")).first()
+    total = max(size["n"] or 0, 1)
+    return numbers(summed, "word", F.log(F.col("n") / total), size["words"]), -math.log(total)
 
 
 @dataclass
 class Model:
-    words: dict[str, float]
+    words: Numbers
     unknown: float
-    weights: dict[str, float]  # log odds of each token
+    weights: Numbers | None  # log odds of each token
     prior: float | None  # None: nothing is ever blocked
     seeds: frozenset[str]
 
@@ -121,36 +177,50 @@ class Model:
 class Segmenter:
     """Words of host names, remembered by name within a task."""
 
-    def __init__(self, words: dict[str, float], unknown: float):
+    def __init__(self, words: Numbers, unknown: float):
         self.words, self.unknown, self.known = words, unknown, {}
 
+    def learn(self, hosts: Iterable[str]) -> None:
+        """Splits hosts of a batch that aren't known yet; their parts are looked up together."""
+        if len(self.known) > 1 << 18:
+            self.known.clear()
+        pending, asked = [], set()
+        for host in {*hosts} - self.known.keys():
+            names = host_tokens(host)
+            pending.append((host, names))
+            asked.update(t[i:j] for t in names for i in range(len(t)) for j in range(i + 1, min(i + LONGEST, len(t)) + 1))
+            if len(asked) > ASKED:
+                self._split(pending, asked)
+                pending, asked = [], set()
+        self._split(pending, asked)
+
+    def _split(self, pending: list[tuple[str, list[str]]], asked: set[str]) -> None:
+        logp = self.words.found(asked)
+        self.known.update((host, [w for t in names for w in segment(t, logp, self.unknown)]) for host, names in pending)
+
     def __call__(self, host: str) -> list[str]:
-        found = self.known.get(host)
-        if found is None:
-            if len(self.known) > 1 << 18:
-                self.known.clear()
-            found = self.known[host] = [w for t in host_tokens(host) for w in segment(t, self.words, self.unknown)]
-        return found
+        return self.known[host]
 
 
 def tokens(host_words: list[str], path: str) -> list[str]:
     return [f"h:{w}" for w in host_words] + [f"p:{t}" for t in path_tokens(path)]
 
 
-def fit(pages: DataFrame, url="url", html="html", seeds=SEEDS, min_share=MIN_SHARE, alpha=1.0) -> Model:
-    words, unknown = word_model(pages, url, html, min_share)
+def fit(pages: DataFrame, url="url", html="html", seeds=SEEDS, alpha=1.0) -> Model:
+    words, unknown = word_model(pages, url, html)
     spark = pages.sparkSession
     shared, wanted = spark.sparkContext.broadcast((words, unknown)), frozenset(seeds)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, n = Segmenter(*shared.value), Counter()
         for batch in batches:
-            for u in batch.column(0):
-                if found := parts(u.as_py()):
-                    words = cut(found[0])
-                    bad = int(not (wanted.isdisjoint(host_tokens(found[0])) and wanted.isdisjoint(words)))
-                    n[("", bad)] += 1
-                    n.update((t, bad) for t in tokens(words, found[1]))
+            some = [found for u in batch.column(0) if (found := parts(u.as_py()))]
+            cut.learn(host for host, _ in some)
+            for host, path in some:
+                words = cut(host)
+                bad = int(not (wanted.isdisjoint(host_tokens(host)) and wanted.isdisjoint(words)))
+                n[("", bad)] += 1
+                n.update((t, bad) for t in tokens(words, path))
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in n], pa.string()), pa.array([b for _, b in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["token", "bad", "n"])
 
     partial = pages.select(F.col(url).alias("url")).mapInArrow(counted, "token string, bad int, n long")
@@ -158,13 +228,12 @@ def fit(pages: DataFrame, url="url", html="html", seeds=SEEDS, min_share=MIN_SHA
     summed = written(by, "tokens")
     first = summed.where("token = ''").first()
     rest = summed.where("token <> ''")
-    total = rest.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    total = rest.agg(F.count("*").alias("tokens"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     if not first or not first["good"] or not first["bad"]:
-        return Model(words, unknown, {}, None, wanted)
-    kept = rest.where(F.col("good") + F.col("bad") >= min_share * (total["good"] + total["bad"])).toArrow()
-    good, bad = (total["good"] or 0) + alpha * (len(kept) + 1), (total["bad"] or 0) + alpha * (len(kept) + 1)
-    odds = lambda b, g: math.log((b + alpha) / bad) - math.log((g + alpha) / good)
-    weights = {t: odds(b, g) for t, b, g in zip(kept["token"].to_pylist(), kept["bad"].to_pylist(), kept["good"].to_pylist())}
+        return Model(words, unknown, None, None, wanted)
+    good, bad = ((total[c] or 0) + alpha * (total["tokens"] + 1) for c in ("good", "bad"))
+    odds = F.log((F.col("bad") + alpha) / bad) - F.log((F.col("good") + alpha) / good)
+    weights = numbers(rest, "token", odds, total["tokens"])
     return Model(words, unknown, weights, math.log(first["bad"] / first["good"]), wanted)
 
 
@@ -174,15 +243,17 @@ def filtered(pages: DataFrame, model: Model, id_column="page_id", url="url") ->
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cut, weight = Segmenter(m.words, m.unknown), m.weights.get
+        cut = Segmenter(m.words, m.unknown)
         for batch in batches:
             hosts, split, scores, blocked = [], [], [], []
-            for u in batch.column(1):
-                found = parts(u.as_py())
+            rows = [parts(u.as_py()) for u in batch.column(1)]
+            cut.learn(found[0] for found in rows if found)
+            weights = m.weights.found({t for found in rows if found for t in tokens(cut(found[0]), found[1])}) if m.weights else {}
+            for found in rows:
                 hosts.append(found and found[0])
                 words = cut(found[0]) if found else None
                 split.append(words and " ".join(words))
-                score = sum((weight(t, 0.0) for t in tokens(words, found[1])), m.prior) if found and m.prior is not None else None
+                score = sum((weights.get(t, 0.0) for t in tokens(words, found[1])), m.prior) if found and m.prior is not None else None
                 scores.append(score)
                 blocked.append(score is not None and score > 0)
             yield pa.RecordBatch.from_arrays(

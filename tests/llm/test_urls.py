@@ -86,6 +86,19 @@ def test_concatenated_hosts_of_many_fitted_pages(spark):
     assert {(r["host_words"], r["blocked"]) for r in got} == {("cheap pills example", True)} and len(got) == 500
 
 
+def test_rare_words_and_tokens_are_kept_beside_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SHARD_ROWS", 7, raising=False)
+    filler = spark.range(4, numPartitions=4).selectExpr("100000 + id AS page_id", "'https://plain.example.org/' || repeat('x/', 300000) AS url", "repeat('and ', 300000) AS html")
+    rare = [(5000, "http://spam-zebra.example.com/quagga", "<p>zebra quagga</p>")]
+    pages = site(spark).unionByName(filler).unionByName(spark.createDataFrame(rare, "page_id long, url string, html string"))
+    model = urls.fit(pages)
+    assert model.words.get("quagga") is not None and model.words.get("zzz") is None
+    assert model.weights.get("h:zebra") > 0 and model.weights.get("p:quagga") > 0
+    assert len(model.words.names) > 1
+    fresh = spark.createDataFrame([(1, "http://zebraquagga.example.net/quagga")], "page_id long, url string")
+    assert urls.filtered(fresh, model).first()["host_words"] == "zebra quagga example"
+
+
 def test_nulls_empty_long_repeated_and_clashing_columns(spark):
     model = urls.fit(site(spark))
     rows = [(1, None, "a"), (2, "", "b"), (3, "nonsense", None), (None, "http://cheap-pills.example.com/win/1", "c"), (5, "http://" + "ab" * 2000 + ".com/x", None), (6, "http://a.b/", "d"), (6, "http://a.b/", "d")]
