@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, GaussianMixture, KMeans
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -204,15 +205,16 @@ def shifted_nonnegative(ft: DataFrame) -> DataFrame:
 
 
 def lda_topics(documents: DataFrame, message_id: str, tokens: str, k: int = 100, iterations: int = 50, min_df: float = 1, stop_words: DataFrame | None = None, alpha: float | None = None, beta: float = 0.01, seed: int = 42, vocabulary: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """((message_id, topics), (term, category, weight)): shares of topics of each message, and of terms of each topic."""
+    """((message_id, topics), (term, category, weight)): shares of topics of each message, and of terms of each topic. Every iteration reads all documents."""
     rows = documents.select(message_id, F.col(tokens).alias("words"))
     if stop_words is not None:
         each = rows.select(message_id, F.explode("words").alias("term")).join(stop_words.select("term").distinct(), "term", "left_anti")
         rows = each.groupBy(message_id).agg(F.collect_list("term").alias("words"))
     counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=min_df).fit(rows)
-    x = counts.transform(rows).select(message_id, "features")
-    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", topicConcentration=beta, **({"docConcentration": [alpha] * k} if alpha else {}))
+    x = counts.transform(rows).select(message_id, "features").persist(StorageLevel.DISK_ONLY)
+    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, topicConcentration=beta, **({"docConcentration": [alpha] * k} if alpha else {}))
     model = lda.fit(x)
+    x.unpersist()
     shares = model.transform(x).select(message_id, vector_to_array("topicDistribution").alias("topics"))
     terms = model.describeTopics(len(counts.vocabulary)).select(F.col("topic").cast("string").alias("category"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
     names = documents.sparkSession.createDataFrame(list(enumerate(counts.vocabulary)), "i int, term string")

@@ -41,7 +41,7 @@ def _toxic(spark, sf):
 @query("l1_lda_topics")
 def l1(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    return D.lda_topics(docs, "doc_id", "tokens", k=5, iterations=5, min_df=2)[1]
+    return D.lda_topics(docs, "doc_id", "tokens", k=5, min_df=2)[1]
 
 
 TOPIC_SQL = f"t AS (SELECT w AS term, length(w) % 5 AS topic FROM (SELECT unnest({tokens_sql('text', False)}) AS w FROM documents)), b AS (SELECT term, topic, count(*) AS n FROM (SELECT term, topic FROM t UNION ALL SELECT term, 0 FROM t WHERE starts_with(term, 'a')) GROUP BY 1, 2)"

@@ -1,5 +1,7 @@
 """Hand-worked cases: known numbers, invariants and edges."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from lingmill.operators import outcomes as O
 from lingmill.operators import predict as P
 from lingmill.operators import reduce as D
 from lingmill.operators import refine as R
+from lingmill.queries import QUERIES
 from lingmill.sources import tables as T
 
 FT = "group_id string, feat string, value long, group_norm double"
@@ -229,3 +232,17 @@ def test_empty_tables_stay_empty(spark):
     analysis = spark.createDataFrame([], "outcome string, group_id string, y double")
     for df in (G.dense(ft), R.occurrence_filter(ft, 0.5), R.tf_idf(ft), R.standardised(ft), A.pearson(ft, analysis), A.spearman(ft, analysis), A.auc(ft, analysis), A.log_odds(ft, analysis)):
         assert df.count() == 0
+
+
+def test_every_document_shapes_the_topics(spark):
+    docs = spark.createDataFrame([(i, [f"w{i}"] * 20 + ["all"]) for i in range(60)], "id long, words array<string>")
+    _, terms = D.lda_topics(docs, "id", "words", k=2)
+    weights = terms.where("term <> 'all'").groupBy("term").agg(F.sum("weight").alias("w")).toPandas()["w"]
+    assert len(weights) == 60 and weights.max() < 5 * weights.min()
+
+
+def test_topics_query_has_the_iterations_of_the_operator(spark, monkeypatch):
+    asked, signature = [], inspect.signature(D.lda_topics)
+    monkeypatch.setattr(D, "lda_topics", lambda *a, **kw: (asked.append(signature.bind(*a, **kw)), (None, None))[1])
+    QUERIES["l1_lda_topics"](spark, "/root/testdata/sf0.001")
+    assert asked[0].arguments.get("iterations", 50) == signature.parameters["iterations"].default
