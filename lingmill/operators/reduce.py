@@ -204,13 +204,17 @@ def shifted_nonnegative(ft: DataFrame) -> DataFrame:
 # ---- topics ----------------------------------------------------------------------------------------------------------
 
 
-def lda_topics(documents: DataFrame, message_id: str, tokens: str, k: int = 100, iterations: int = 50, min_df: float = 1, stop_words: DataFrame | None = None, alpha: float | None = None, beta: float = 0.01, seed: int = 42, vocabulary: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """((message_id, topics), (term, category, weight)): shares of topics of each message, and of terms of each topic. Every iteration reads all documents."""
+#: CountVectorizer counts the terms of enough documents and takes this many at most: the greatest size there is.
+EVERY = (1 << 31) - 1
+
+
+def lda_topics(documents: DataFrame, message_id: str, tokens: str, k: int = 100, iterations: int = 50, min_df: float = 1, stop_words: DataFrame | None = None, alpha: float | None = None, beta: float = 0.01, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """((message_id, topics), (term, category, weight)): shares of topics of each message, and of terms of each topic. Every iteration reads all documents, and all terms of min_df documents."""
     rows = documents.select(message_id, F.col(tokens).alias("words"))
     if stop_words is not None:
         each = rows.select(message_id, F.explode("words").alias("term")).join(stop_words.select("term").distinct(), "term", "left_anti")
         rows = each.groupBy(message_id).agg(F.collect_list("term").alias("words"))
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=min_df).fit(rows)
+    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=EVERY, minDF=min_df).fit(rows)
     x = counts.transform(rows).select(message_id, "features").persist(StorageLevel.DISK_ONLY)
     lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, topicConcentration=beta, **({"docConcentration": [alpha] * k} if alpha else {}))
     model = lda.fit(x)

@@ -246,3 +246,10 @@ def test_topics_query_has_the_iterations_of_the_operator(spark, monkeypatch):
     monkeypatch.setattr(D, "lda_topics", lambda *a, **kw: (asked.append(signature.bind(*a, **kw)), (None, None))[1])
     QUERIES["l1_lda_topics"](spark, "/root/testdata/sf0.001")
     assert asked[0].arguments.get("iterations", 50) == signature.parameters["iterations"].default
+
+
+def test_topics_keep_more_terms_than_any_constant(spark):
+    n = (1 << 18) + 1000
+    docs = spark.range(8, numPartitions=4).select("id", F.expr(f"transform(sequence(id div 2, {n} - 1, 4), i -> 'w' || i)").alias("words"))
+    _, terms = D.lda_topics(docs, "id", "words", k=2, iterations=1, min_df=2)
+    assert terms.select("term").distinct().count() == n
