@@ -13,10 +13,9 @@ from lingmill.queries.base import query, table, tokens_sql, words
 FEATS = ["the", "of", "and", "to", "in", "de", "la", "der"]
 
 
-def _vectors(spark, sf, dims: int | None = None):
+def _vectors(spark, sf):
     """The dimensions of the embeddings as features."""
     e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("d", "x"))
-    e = e if dims is None else e.where(F.col("d") < dims)
     return e.select(F.col("vec_id").alias("group_id"), F.col("d").cast("string").alias("feat"), F.col("x").cast("double").alias("value"), F.col("x").cast("double").alias("group_norm"))
 
 
@@ -66,8 +65,8 @@ def l3(spark, sf):
 
 @query("l3_factors")
 def l3b(spark, sf):
-    ft = _vectors(spark, sf, 16)
-    return D.to_lexicon(ft, D.factor_analysis(ft, [str(i) for i in range(16)], 3))
+    ft = _vectors(spark, sf)
+    return D.to_lexicon(ft, D.factor_analysis(ft, [str(i) for i in range(64)], 3))
 
 
 @query("l3_nmf")
@@ -83,7 +82,7 @@ def l3d(spark, sf):
 
 @query("l7_without_main_components")
 def l7(spark, sf):
-    ft, feats = _vectors(spark, sf, 16), [str(i) for i in range(16)]
+    ft, feats = _vectors(spark, sf), [str(i) for i in range(64)]
     return D.without_main_components(ft, D.pca(ft, feats, 3), 2)
 
 
@@ -94,8 +93,8 @@ def l8(spark, sf):
 
 @query("l9_varimax")
 def l9(spark, sf):
-    ft = _vectors(spark, sf, 16)
-    r = D.pca(ft, [str(i) for i in range(16)], 3)
+    ft = _vectors(spark, sf)
+    r = D.pca(ft, [str(i) for i in range(64)], 3)
     r.components = D.varimax(r.components)
     return D.to_lexicon(ft, r)
 
