@@ -328,7 +328,7 @@ def a23(spark, sf):
 @query("a24_mediation_bootstrap")
 def a24(spark, sf):
     ft, y, c = customers(spark, sf)
-    return A.mediation_bootstrap(ft.where("feat = '1-URGENT'"), y, c, "cycle", samples=200)
+    return A.mediation_bootstrap(ft, y, c, "cycle")
 
 
 @query("a25_canonical_correlation")

@@ -253,3 +253,11 @@ def test_topics_keep_more_terms_than_any_constant(spark):
     docs = spark.range(8, numPartitions=4).select("id", F.expr(f"transform(sequence(id div 2, {n} - 1, 4), i -> 'w' || i)").alias("words"))
     _, terms = D.lda_topics(docs, "id", "words", k=2, iterations=1, min_df=2)
     assert terms.select("term").distinct().count() == n
+
+
+def test_mediation_query_covers_all_features_with_all_samples(spark, monkeypatch):
+    asked, run, signature = [], A.mediation_bootstrap, inspect.signature(A.mediation_bootstrap)
+    monkeypatch.setattr(A, "mediation_bootstrap", lambda *a, **kw: (asked.append(signature.bind(*a, **kw)), run(*a, **kw))[1])
+    got = QUERIES["a24_mediation_bootstrap"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len({(r["outcome"], r["feat"]) for r in got}) == 10
+    assert asked[0].arguments.get("samples", 1000) == signature.parameters["samples"].default
