@@ -30,7 +30,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), g AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS gram
@@ -38,17 +38,22 @@ WITH w AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
-  FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2
-)
-SELECT a, b, round(shared / (na.n + nb.n - shared), 6) AS jaccard
-FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
-WHERE shared / (na.n + nb.n - shared) >= 0.5 - 1e-12
+  FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE shared / (na.n + nb.n - shared) >= 0.5 - 1e-12
+), r AS (
+  SELECT a AS doc_id, a AS far FROM (SELECT DISTINCT a FROM e) UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.far
+), c AS (SELECT doc_id, min(far) AS class_id FROM r GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(l.links, 0) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
 
 @query("op3_ngram_jaccard_join", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = """

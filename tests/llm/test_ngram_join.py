@@ -63,12 +63,84 @@ def test_other_parameters(spark, threshold, subset):
     assert got == pytest.approx(brute_force(rows, threshold=threshold))
 
 
+def classes(rows):
+    """doc_id -> (class, links), by brute force; for ids with one text each."""
+    ids = sorted({i for i, _ in rows if i is not None})
+    pairs, links, label = brute_force(rows), dict.fromkeys(ids, 0), {i: i for i in ids}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    for _ in ids:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i: (label[i], links[i]) for i in ids}
+
+
+@pytest.mark.parametrize("at_most", [None, 0, 5])
+def test_classes_and_links(spark, at_most):
+    rows = corpus(2) + [(500, None), (501, ""), (502, "?!")]
+    rows += [(1000 + i, rows[0][1]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in J.linked(docs, at_most=at_most).collect()}
+    assert got == classes(rows)
+
+
+def at_the_threshold(sizes, seed=3):
+    """Pairs of long texts with a Jaccard of exactly one half: 2k of 4k 3-grams are shared, in runs of random places."""
+    r, rows = random.Random(seed), []
+    for number, k in enumerate(sizes):
+        word = lambda kind: f"{kind}{number}x{r.randrange(1 << 40)}"
+        common = [word("c") for _ in range(2 * k + 2)]  # 2k 3-grams
+        own = lambda kind: [word(kind) for _ in range(k)]  # noqa: E731, B023
+        rows += [(2 * number, " ".join(common + own("a"))), (2 * number + 1, " ".join(own("b") + common))]
+    return rows
+
+
+def test_exact_at_the_threshold_itself(spark):
+    rows = at_the_threshold([13, 25, 60, 100, 150, 250, 400, 700, 1000] * 8)
+    expected = brute_force(rows)
+    assert len(expected) == 72 and set(expected.values()) == {0.5}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["a"], r["b"]): r["jaccard"] for r in J.jaccard_pairs(docs).collect()} == expected
+
+
+def test_blocks_of_a_large_tile(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{r.randrange(400)}" for _ in range(80)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randrange(12)):
+            w[r.randrange(80)] = f"n{r.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(J.tiles, "__defaults__", (4096,))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x["a"], x["b"]): x["jaccard"] for x in J.jaccard_pairs(docs).collect()} == pytest.approx(brute_force(rows))
+    assert {x["doc_id"]: (x["class_id"], x["links"]) for x in J.linked(docs).collect()} == classes(rows)
+
+
+def test_fingerprints_come_back():
+    r = random.Random(1)
+    for grams in (1000, 1 << 26, 1 << 40):
+        ranges = J.Ranges(grams)
+        prints = J.np.sort(ranges.of(J.np.array([r.randrange(1 << 64) for _ in range(2000)], J.np.uint64)))
+        back = []
+        for shard, lo, hi in ranges.parts(prints):
+            assert 0 <= shard < ranges.shards
+            places, counts = J._of_blob(J._blob(ranges.places(prints[lo:hi], shard), J.np.ones(hi - lo)))
+            assert (counts == 1).all()
+            back.append(places.astype(J.np.uint64) + J.np.uint64(shard * ranges.span))
+        assert (J.np.concatenate(back) == prints).all()
+
+
 def test_nulls_short_repeated_and_clashing_columns(spark):
     rows = [(1, None), (2, ""), (3, "?!"), (None, "a b c d"), (4, "a b c d"), (5, "A, b: c d."), (6, "a b"), (7, "b a"), (8, "a b"), (9, "x"), (9, "a b"), (10, "a b c d"), (10, "a b c d")]
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, sid string, gone int")
     got = {(r["a"], r["b"]): r["jaccard"] for r in J.jaccard_pairs(docs).collect()}
     assert got == pytest.approx(brute_force(rows))
     assert set(got) == {(4, 5), (4, 10), (5, 10), (6, 8), (6, 9), (8, 9)}
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in J.linked(docs).collect()}
+    assert got == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 2), 5: (4, 2), 10: (4, 2), 6: (6, 2), 8: (6, 2), 9: (6, 2), 7: (7, 0)}
     kept = J.one_of_each_group(docs)
     assert kept.schema == docs.schema
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7]
@@ -87,7 +159,7 @@ def test_groups_are_connected_components(spark):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert J.jaccard_pairs(docs).collect() == [] and J.one_of_each_group(docs).collect() == []
+    assert J.jaccard_pairs(docs).collect() == [] and J.linked(docs).collect() == [] and J.one_of_each_group(docs).collect() == []
 
 
 def test_long_text(spark):
@@ -102,16 +174,7 @@ def test_long_text(spark):
 
 
 def test_boundary_of_least_cost():
-    class Rows:
-        def __init__(self, rows): self.rows = rows
-        def groupBy(self, *_): return self
-        def agg(self, *_): return self
-        def collect(self): return self.rows
-
-    import unittest.mock as mock
-
-    with mock.patch.object(J, "F"):
-        many = [{"p": 2, "sets": 100, "scan": 100_000}, {"p": 14, "sets": 10, "scan": 150}]
-        assert J.boundary(Rows(many), 2) == 2
-        assert J.boundary(Rows([{"p": 14, "sets": 10, "scan": 150}]), 2) == 0
-        assert J.boundary(Rows([{"p": 14, "sets": 10, "scan": 10_000}]), 2) == 14
+    assert J.least_cost({2: (100, 100_000), 14: (10, 150)}, 2, 1) == 2
+    assert J.least_cost({14: (10, 150)}, 2, 1) == 0
+    assert J.least_cost({14: (10, 10_000)}, 2, 1) == 14
+    assert J.least_cost({14: (10, 10_000)}, 2, 1000) == 0
