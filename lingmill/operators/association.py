@@ -401,7 +401,8 @@ def corrected(results: DataFrame, method: str = "bh", p: str = "p", alpha: float
     rows = results.withColumn("__p", F.when(F.col(p).isNull() | F.isnan(p), F.lit(1.0)).otherwise(F.col(p))).withColumns({"__i": F.row_number().over(up), "__m": F.count("*").over(every)})
     q, i, m = F.col("__p"), F.col("__i"), F.col("__m")
     ahead = up.rowsBetween(W.unboundedPreceding, W.currentRow)
-    behind = up.rowsBetween(W.currentRow, W.unboundedFollowing)
+    # the rows from this one on, as a running frame of the reverse order: one that begins here is summed up anew for every row
+    behind = every.orderBy(F.col("__p").desc(), F.col("feat").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     cap = lambda c: F.least(F.lit(1.0), c)
     if method == "bonferroni":
         out = cap(q * m)
