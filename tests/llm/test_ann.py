@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lingmill.llm import ann
 
@@ -38,11 +39,47 @@ def test_stopping_saves_work():
     r = np.random.default_rng(1)
     x = np.concatenate([r.standard_normal((500, 16)) * 0.1 + c for c in r.standard_normal((20, 16)) * 5])
     p = x @ ann.directions(16)
-    tree = ann.Tree(np.arange(len(x)), x, p)
+    order, tree = ann.tree_of(np.arange(len(x)), x, p)
+    row_of = np.argsort(order)
     quantile = ann.chi2_quantile(ann.CONFIDENCE, ann.M)
-    d, _ = tree.search(np.arange(50), x[:50], p[:50], 10, np.full(50, np.inf), quantile)
-    far = ann.box_distances(p[:50].astype(np.float32), tree.low, tree.high) > quantile * d[:, -1:]
-    assert far.mean() > 0.8
+    verified, hits = 0, 0
+    for q in range(0, 10_000, 200):
+        who, d, n = ann.search(tree, x[q], p[q], int(row_of[q]), 10, np.inf, quantile)
+        true = np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]
+        hits += len({*order[who]} & {*true})
+        verified += n
+    assert hits >= 0.95 * 500 and verified < 0.1 * 50 * len(x)
+
+
+def test_neighbours_come_in_the_order_of_projected_distance():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((3000, 12))
+    p = x @ ann.directions(12)
+    _, tree = ann.tree_of(np.arange(len(x)), x, p)
+    # with a bound that nothing exceeds, exactly what lies within the tested radius is verified
+    for q in range(20):
+        for bound in (0.01, 0.3, 1.0):
+            n = ann.search(tree, x[q], p[q], -1, 5000, bound, 5.0)[2]
+            assert n == (((p - p[q]) ** 2).sum(axis=1) < 5.0 * bound).sum()
+
+
+def test_queries_are_a_stated_set(spark):
+    rows = vectors(500, 16, 5)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = ann.neighbours(df, F.col("vec_id") % 50 == 0, cell_rows=40, sample=320).collect()
+    expected = brute_force([(i, np.float32(v).astype(float)) for i, v in rows], 10)
+    assert {r["vec_id"] for r in got} == set(range(0, 500, 50)) and len(got) == 100
+    assert np.mean([r["neighbour"] in {j for _, j in expected[r["vec_id"]]} for r in got]) >= 0.9
+
+
+def test_a_third_of_all_vectors_are_equal(spark):
+    rows = vectors(400, 8, 6) + [(1000 + i, [0.5] * 8) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    by = {}
+    for r in ann.neighbours(df, F.col("vec_id") >= 1000, k=3, cell_rows=30, sample=480).collect():
+        by.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour"], r["distance"]))
+    least = lambda i: [j for j in range(1000, 1004) if j != i][:3]
+    assert {i: sorted(x) for i, x in by.items()} == {i: [(n + 1, j, 0.0) for n, j in enumerate(least(i))] for i in range(1000, 1200)}
 
 
 def test_chi_square():
