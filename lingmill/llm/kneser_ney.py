@@ -531,27 +531,40 @@ class Scorer:
                 o[rows[near]] = lookup(tables[t], h[near])
         return out
 
-    def log_probabilities(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, stream: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of the words at the places, each after the two words before it. Equal words and bigrams are looked up once."""
         m, layout = self.m, self.m.layout
         d1, d2, d3 = m.discounts
-        parts = layout.parts_of(v)
-        tri, ctx3 = self.spread(layout.of(v, u, parts), [("tri", triple(pair(u, v), w), 1), ("ctx3", pair(u, v), 4)], m.shards.get)
-        (bi,) = self.spread(layout.of(v, w, parts), [("bi", pair(v, w), 1)], m.shards.get)
-        whole = np.ones(len(v), np.uint64)
-        (ctx2,) = self.spread(layout.of(v, v, whole), [("ctx2", v, 4)], m.shards.get)
+        words, code = np.unique(stream, return_inverse=True)
+        parts = layout.parts_of(words)
+        # words: unigrams, and contexts of bigrams
+        (ctx2,) = self.spread(layout.of(words, words, np.ones(len(words), np.uint64)), [("ctx2", words, 4)], m.shards.get)
         if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
-            found = self.hot[at] == v
+            at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+            found = self.hot[at] == words
             ctx2[found] = self.hot_stats[at[found]]
-        part = (((w >> np.uint64(32)) * np.uint64(len(m.unigrams))) >> np.uint64(32)).astype(np.int64)
-        (uni,) = self.spread(part, [("uni", w, 1)], lambda i: m.unigrams[i])
+        range_of = (((words >> np.uint64(32)) * np.uint64(len(m.unigrams))) >> np.uint64(32)).astype(np.int64)
+        (uni,) = self.spread(range_of, [("uni", words, 1)], lambda i: m.unigrams[i])
         n1, n2, n3 = m.unigram_context
-        p = (uni[:, 0] - _discount(uni[:, 0], d1) + (d1[0] * n1 + d1[1] * n2 + d1[2] * n3) / m.words) / m.total
-        for c, ctx, d in ((bi, ctx2, d2), (tri, ctx3, d3)):
-            some = ctx[:, 0] > 0
-            gamma = ctx[:, 1:] @ np.array(d)
-            p = np.where(some, (c[:, 0] - _discount(c[:, 0], d) + gamma * p) / np.maximum(ctx[:, 0], 1), p)
-        return np.log(p)
+        p1 = (uni[:, 0] - _discount(uni[:, 0], d1) + (d1[0] * n1 + d1[1] * n2 + d1[2] * n3) / m.words) / m.total
+        # bigrams: of the last two words, and contexts of trigrams
+        both, two = np.unique(code[:-1] * np.int64(len(words)) + code[1:], return_inverse=True)
+        first, second = np.divmod(both, len(words))
+        x, y = words[first], words[second]
+        hashes = pair(x, y)
+        (bi,) = self.spread(layout.of(x, y, parts[first]), [("bi", hashes, 1)], m.shards.get)
+        (ctx3,) = self.spread(layout.of(y, x, parts[second]), [("ctx3", hashes, 4)], m.shards.get)
+        p2 = _interpolated(bi[:, 0], ctx2[first], d2, p1[second])
+        # trigrams
+        before, last = two[place - 2], two[place - 1]
+        v = code[place - 1]
+        (tri,) = self.spread(layout.of(words[v], words[code[place - 2]], parts[v]), [("tri", triple(hashes[before], words[code[place]]), 1)], m.shards.get)
+        return np.log(_interpolated(tri[:, 0], ctx3[before], d3, p2[last]))
+
+
+def _interpolated(count: np.ndarray, context: np.ndarray, d: list[float], lower: np.ndarray) -> np.ndarray:
+    gamma = context[:, 1:] @ np.array(d)
+    return np.where(context[:, 0] > 0, (count - _discount(count, d) + gamma * lower) / np.maximum(context[:, 0], 1), lower)
 
 
 def _discount(c: np.ndarray, d: list[float]) -> np.ndarray:
@@ -573,13 +586,11 @@ def perplexity(docs: DataFrame, model: Model | None, id_column="doc_id", text="t
             def settle() -> None:
                 if not pending:
                     return
-                us, vs, ws = [], [], []
+                places, size = [], 0
                 for _, stream, begin in pending:
-                    p = targets(begin)
-                    us.append(stream[p - 2])
-                    vs.append(stream[p - 1])
-                    ws.append(stream[p])
-                logs = scorer.log_probabilities(*map(np.concatenate, (us, vs, ws)))
+                    places.append(targets(begin) + size)
+                    size += len(stream)
+                logs = scorer.log_probabilities(np.concatenate([x for _, x, _ in pending]), np.concatenate(places))
                 done = 0
                 for at, _, begin in pending:
                     n = np.where(np.diff(begin) > 0, np.diff(begin) - 2, 0)
@@ -589,7 +600,7 @@ def perplexity(docs: DataFrame, model: Model | None, id_column="doc_id", text="t
                     count[at : at + len(n)] = n
                     done += int(ends[-1])
                 pending.clear()
-                del us, vs, ws, logs
+                del places, logs
                 trim()
 
             if scorer:

@@ -79,7 +79,7 @@ def test_probabilities_sum_to_one(spark):
     scorer = K.Scorer(model)
     known = [h for h in hashes]
     for u, v in [(K.BOS, K.BOS), (hashes[0], hashes[1]), (hashes[3], hashes[0]), (np.uint64(0xF00D56789ABCDEF1), np.uint64(0xBEEF56789ABCDEF1))]:
-        p = np.exp(scorer.log_probabilities(np.full(len(known), u), np.full(len(known), v), hashes))
+        p = np.exp(scorer.log_probabilities(np.stack([np.full(len(known), u), np.full(len(known), v), hashes], axis=1).ravel(), 3 * np.arange(len(known)) + 2))
         assert p.sum() == pytest.approx(1, abs=1e-9)
 
 
