@@ -17,7 +17,7 @@ size of the vocabulary is broadcast or reaches the driver.
 
 Defined results: a null, empty or hostless URL has a null host and score and isn't blocked; nulls elsewhere change
 nothing; scores of equal hosts and paths are equal; repeated rows are scored each; an empty table gives an empty result;
-with no unwanted or no other URLs nothing is blocked. Of ties the split with fewer words is taken, then the one whose
+with no unwanted or no other URLs nothing is blocked; a run of over 63 letters, which no host label can have, is one word. Of ties the split with fewer words is taken, then the one whose
 last word is longer. Only the named columns are read, so that others can have any name.
 """
 
@@ -39,7 +39,8 @@ from lingmill.llm.common import new_path, written
 from lingmill.llm.kneser_ney import mapped, put
 
 SEEDS = ("spam", "casino", "pills", "bets", "ads", "porn", "xxx", "viagra", "gambling", "escort", "warez")
-LONGEST = 24
+LONGEST = 63  # characters of a host label (RFC 1035): no word in one is longer
+HELD = 1 << 18  # distinct words or tokens that a task counts before it sends them
 SHARD_ROWS = 1 << 20
 ASKED = 1 << 17  # strings that are looked up at once
 IGNORED = {"www", "m", "blog"}
@@ -145,18 +146,26 @@ def word_model(pages: DataFrame, url="url", html="html") -> tuple[Numbers, float
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+            n.clear()
+            return out
+
         for batch in batches:
             for u, h in zip(batch.column(0), batch.column(1)):
                 found, whole = parts(u.as_py()), set()
                 if found:
                     labels = label_tokens(found[0])
                     whole = {label[0] for label in labels if len(label) == 1}
-                    n.update(t for label in labels if len(label) > 1 for t in label if len(t) <= LONGEST)
-                    n.update(t for t in path_tokens(found[1]) if len(t) <= LONGEST and t != "#")
+                    n.update(t for label in labels if len(label) > 1 for t in label)
+                    n.update(t for t in path_tokens(found[1]) if t != "#")
                 shown = h.as_py()
                 if shown:
-                    n.update(t for t in _TOKENS.findall(_SHOWN.sub(" ", shown).lower()) if not t.isdigit() and len(t) <= LONGEST and t not in whole)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+                    n.update(t for t in _TOKENS.findall(_SHOWN.sub(" ", shown).lower()) if not t.isdigit() and t not in whole)
+                if len(n) > HELD:
+                    yield sent()
+        yield sent()
 
     partial = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(counted, "word string, n long")
     summed = written(partial.groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -188,7 +197,7 @@ class Segmenter:
         for host in {*hosts} - self.known.keys():
             names = host_tokens(host)
             pending.append((host, names))
-            asked.update(t[i:j] for t in names for i in range(len(t)) for j in range(i + 1, min(i + LONGEST, len(t)) + 1))
+            asked.update(t[i:j] for t in names if len(t) <= LONGEST for i in range(len(t)) for j in range(i + 1, min(i + LONGEST, len(t)) + 1))
             if len(asked) > ASKED:
                 self._split(pending, asked)
                 pending, asked = [], set()
@@ -196,7 +205,7 @@ class Segmenter:
 
     def _split(self, pending: list[tuple[str, list[str]]], asked: set[str]) -> None:
         logp = self.words.found(asked)
-        self.known.update((host, [w for t in names for w in segment(t, logp, self.unknown)]) for host, names in pending)
+        self.known.update((host, [w for t in names for w in (segment(t, logp, self.unknown) if len(t) <= LONGEST else [t])]) for host, names in pending)
 
     def __call__(self, host: str) -> list[str]:
         return self.known[host]
@@ -213,6 +222,12 @@ def fit(pages: DataFrame, url="url", html="html", seeds=SEEDS, alpha=1.0) -> Mod
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, n = Segmenter(*shared.value), Counter()
+
+        def sent() -> pa.RecordBatch:
+            keys, counts = list(n), list(n.values())
+            n.clear()
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.int32()), pa.array(counts, pa.int64())], ["token", "bad", "n"])
+
         for batch in batches:
             some = [found for u in batch.column(0) if (found := parts(u.as_py()))]
             cut.learn(host for host, _ in some)
@@ -221,7 +236,9 @@ def fit(pages: DataFrame, url="url", html="html", seeds=SEEDS, alpha=1.0) -> Mod
                 bad = int(not (wanted.isdisjoint(host_tokens(host)) and wanted.isdisjoint(words)))
                 n[("", bad)] += 1
                 n.update((t, bad) for t in tokens(words, path))
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in n], pa.string()), pa.array([b for _, b in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["token", "bad", "n"])
+                if len(n) > HELD:
+                    yield sent()
+        yield sent()
 
     partial = pages.select(F.col(url).alias("url")).mapInArrow(counted, "token string, bad int, n long")
     by = partial.groupBy("token").agg(*[F.coalesce(F.sum(F.when(F.col("bad") == b, F.col("n"))), F.lit(0)).alias(name) for b, name in ((0, "good"), (1, "bad"))])
