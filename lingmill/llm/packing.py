@@ -5,8 +5,8 @@ The lengths of all pieces make a histogram (at most `capacity` rows, however lar
 lengths are placed longest first: each goes into the shortest open pack that has room, and whole batches of equal
 packs are handled at once as a pattern with a count. Each use of a length in a pattern is then an interval of ranks
 among the pieces of that length, and pieces join their pattern by length and rank. Ranks are counted in two steps
-(within buckets by a hash of the identifier, then the buckets' offsets), so that no length, however frequent, has to
-be sorted in one task.
+(within BUCKETS buckets by a hash of the identifier, then the buckets' offsets), so that no length, however frequent, has
+to be sorted in one task.
 
 Defined results: a null or empty text has length 0 and takes no room: its pack is null; a null identifier is packed
 like any other; repeated rows are packed each; equal lengths are ranked by bucket, identifier and piece; an empty
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lingmill.llm.common import small
 
 CAPACITY = 2048
-BUCKET_ROWS = 1 << 20
+BUCKETS = 1 << 10
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -95,7 +95,7 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def pack(docs: DataFrame, length: Column | None = None, id_column="doc_id", text="text", capacity=CAPACITY, bucket_rows=BUCKET_ROWS) -> DataFrame:
+def pack(docs: DataFrame, length: Column | None = None, id_column="doc_id", text="text", capacity=CAPACITY, buckets=BUCKETS) -> DataFrame:
     """(id, piece, length, pack, place, pattern): place is where the piece begins in its pack.
 
     length: the length of a row in units; words of `text` if None.
@@ -108,19 +108,16 @@ def pack(docs: DataFrame, length: Column | None = None, id_column="doc_id", text
     )
     histogram = {r["length"]: r["n"] for r in rows.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()}
     found = intervals(shortest_pack_first(histogram, capacity))
-    most = max(histogram.values(), default=0)
-    buckets = max(1, -(-most // bucket_rows))
     bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
     within = F.row_number().over(W.partitionBy("length", "bucket").orderBy(F.col("id").asc_nulls_first(), "piece")) - 1
     ranked = bucketed.withColumn("rank", within.cast("long"))
-    if buckets > 1:
-        offsets = (
-            bucketed.groupBy("length", "bucket")
-            .agg(F.count("*").alias("n"))
-            .withColumn("offset", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-            .drop("n")
-        )
-        ranked = ranked.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    offsets = (
+        bucketed.groupBy("length", "bucket")
+        .agg(F.count("*").alias("n"))
+        .withColumn("offset", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .drop("n")
+    )
+    ranked = ranked.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset"))
     ranges = spark.createDataFrame(found, "length long, first long, after long, times long, base long, start long, pattern long")
     o = F.col("rank") - F.col("first")
     return (

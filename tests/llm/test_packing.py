@@ -60,8 +60,8 @@ def test_pack_against_brute_force(spark):
     sizes = [r.choice([0, 1, 2, 3, 5, 8, 30, 50, 100, 101, 250, 1000]) for _ in range(400)]
     docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(3)
     pieces = [min(100, n - at) for n in sizes for at in range(0, n, 100)]
-    for bucket_rows in (1 << 20, 7):
-        rows = packing.pack(docs, capacity=100, bucket_rows=bucket_rows).collect()
+    for buckets in (1, 3, packing.BUCKETS):
+        rows = packing.pack(docs, capacity=100, buckets=buckets).collect()
         assert check(rows, Counter({i: n for i, n in enumerate(sizes)}), 100) == one_by_one(pieces, 100)
 
 
@@ -76,5 +76,5 @@ def test_nulls_empty_long_repeated_and_clashing_columns(spark):
 
 def test_ties_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame([(i, "a b c") for i in range(50)], "doc_id long, text string")
-    one, two = (sorted(map(tuple, packing.pack(docs.repartition(n), capacity=7, bucket_rows=8).collect())) for n in (1, 4))
+    one, two = (sorted(map(tuple, packing.pack(docs.repartition(n), capacity=7, buckets=5).collect())) for n in (1, 4))
     assert one == two
