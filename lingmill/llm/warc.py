@@ -10,7 +10,7 @@ them into files, each written under a name of its own and renamed when complete;
 
 Defined results: a null or empty html is a record with an empty block; a null or empty url gives the target
 urn:page:<page_id>; a null page_id is archived with an identifier made from the contents alone, and equal rows are
-archived each, with the same identifier; archives too small to train on get a dictionary of raw content; a record
+archived each, with the same identifier; archives too small to train on (under 10 KB, or all alike) get a dictionary of their raw content; a record
 larger than archive_bytes has an archive to itself; an empty table gives no archive. Only the named columns are read.
 """
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20
 DICTIONARY_BYTES = 112_640
+LEAST_BYTES = 10 * 1024
+SAMPLE_BYTES = 1 << 16
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 FRAMES = "archive string, seq long, id {kind}, record_id string, offset long, length long, frame binary"
@@ -56,14 +58,13 @@ def record(page_id, url: str | None, html: str | None, date=DATE) -> tuple[str,
 
 
 def dictionary(records: list[bytes], size=DICTIONARY_BYTES) -> zstd.ZstdCompressionDict:
-    """Trained on all records; of raw content where they are too few or too small for training."""
-    total = sum(map(len, records))
-    try:
-        if len(records) >= 8 and total >= 10 * 1024:
-            return zstd.train_dictionary(min(size, max(256, total // 10)), records, k=256, d=8)
-    except zstd.ZstdError:
-        pass
-    return zstd.ZstdCompressionDict(b"".join(records)[-min(size, max(8, total // 10)) :], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    """Trained on all records, in samples of at most SAMPLE_BYTES; the records themselves where they are under LEAST_BYTES, or all alike."""
+    whole = b"".join(records)
+    samples = [r[i : i + SAMPLE_BYTES] for r in records for i in range(0, len(r), SAMPLE_BYTES)]
+    if len(whole) >= LEAST_BYTES and len(set(samples)) >= 8:
+        return zstd.train_dictionary(min(size, len(whole) // 10), samples, k=256, d=8)
+    content = b"".join(dict.fromkeys(samples))
+    return zstd.ZstdCompressionDict(content[-size:] if len(content) >= 8 else content.ljust(8), dict_type=zstd.DICT_TYPE_RAWCONTENT)
 
 
 def frames(records: list[bytes], level=LEVEL, size=DICTIONARY_BYTES) -> Iterator[bytes]:
