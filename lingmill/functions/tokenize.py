@@ -6,30 +6,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _W = r"[\p{L}\p{N}_]"
+_INNER = r"[\p{L}\p{N}_'-]"
+_EYES, _NOSE, _MOUTH = ":;=8", r"[o*'-]?", r"[()\[\]{}dpx/\\|:@]"
+_EYE_LEFT, _EYE_RIGHT = r"[o~^*+>-]", r"[o~^*+<-]"
+_DOMAINS = "am be cc co com edu fm gd gl gov gs im info jp kr ly me net nl org pr sg to us ws"
+#: Longer names come first, as "co" begins "com".
+_TLD = "|".join(sorted(_DOMAINS.split(), key=len, reverse=True))
 #: In order: the first alternative that matches at a place wins.
 ALTERNATIVES = [
-    r"(?:\+?[01][ .-]*)?(?:\(?[0-9]{3}[ .)-]*)?[0-9]{3}[ .-]*[0-9]{4}",  # phone numbers
-    r"[<>]?[:;=8][o*'-]?[\])(\[dp/\\:}{@|]|[\])(\[dp/\\:}{@|][o*'-]?[:;=8][<>]?|<3+|[(]?[\^~*>-][_.]+[\^~*<-][)]?",  # emoticons
-    r"(?:[a-z0-9-]+\.)+(?:com|org|net|edu|gov|info|biz|uk|de|fr|es|io|me|tv)\b",  # domains
+    r"(?:\+?[01][\s.-]*)?(?:\(?\p{Nd}{3}[\s.)-]*)?\p{Nd}{3}[\s.-]*\p{Nd}{4}",  # phone numbers
+    # emoticons: to the right, to the left, hearts, faces from the front
+    "|".join([f"[<>]?[{_EYES}>]{_NOSE}{_MOUTH}", f"{_MOUTH}{_NOSE}[{_EYES}<][<>]?", r"<[/\\]?3", rf"\(?\(?#?{_EYE_LEFT}[o_.|,]{_EYE_RIGHT}[#;]?\)?\)?"]),
+    rf"(?:https?://)?(?:[\p{{L}}\p{{N}}_-]+\.)+(?:{_TLD})(?:/[\s\x08$])?",  # web addresses, without what follows the domain
     r"https?://",
-    r"\[[a-z_]+\]",
-    r"/[a-z0-9_]+\?[a-z0-9_]+=[a-z0-9_=&;%.+-]*",  # the end of a GET request
-    r"<[^<>\s]+>|[^\s<>]+>",  # tags
-    r"@" + _W + r"+",
-    r"#" + _W + _W + r"+",
-    r"\[[^\s:\]]+:[^\s\]]+\]",  # named entities
-    r"\p{L}[\p{L}'_-]+\p{L}",  # words with marks inside
-    r"[+-]?[0-9]+[,/.:-][0-9]+[+-]?",
-    _W + r"+",
-    r"\.(?:\s*\.)+",
+    rf"\[{_W}+\]",  # commands
+    rf"/{_W}+\?(?:;?{_W}+={_W}+)+",  # the end of a GET request
+    r"<[^>]+=[^>]+>|<[^>]+\s/>|<[^>\s]+>?|<?[^<\s]+>",  # tags, and whatever ends like one
+    rf"@{_W}+",
+    rf"#+{_W}+{_INNER}*{_W}+",
+    rf"\[[^\]]{_W}+:?{_W}+[^\]]\]",  # named entities
+    rf"{_W}{_INNER}+{_W}",  # words with marks inside
+    r"[+-]?\p{Nd}+[,/.:-]\p{Nd}+[+-]?",
+    rf"{_W}+",
+    r"\.[\s.]*\.",  # dots, with or without space
     r"\S",
 ]
 TOKEN = "(?i)" + "|".join(f"(?:{a})" for a in ALTERNATIVES)
-EMOTICON = "(?i)^(?:" + ALTERNATIVES[1] + ")$"
+EMOTICON = "(?i)" + ALTERNATIVES[1]
 
 
 def tokenize(text: Column, keep_emoticon_case: bool = True) -> Column:
-    """Tokens, in lower case unless they are emoticons."""
+    """Tokens, in lower case unless there is an emoticon in them."""
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     return F.transform(tokens, lambda t: F.when(t.rlike(EMOTICON), t).otherwise(F.lower(t)) if keep_emoticon_case else F.lower(t))
 

@@ -7,6 +7,9 @@ aggregate by (outcome, feat) do the work whatever the number of groups. Effects
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -109,32 +112,76 @@ def auc(ft: DataFrame, analysis: DataFrame) -> DataFrame:
     return by.select("outcome", "feat", F.when(a < 0.5, a - 1).otherwise(a).alias("auc"), "n", "freq")
 
 
+def _by_feature(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work() over rows (outcome, feat, ...) in runs of whole features: of any number of small ones at once.
+
+    The rows are sorted within their partitions, so that a task holds a batch and the rest of one feature.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = ((pdf["feat"] == pdf["feat"].iloc[-1]) & (pdf["outcome"] == pdf["outcome"].iloc[-1])).to_numpy()
+            first = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0
+            rest = pdf.iloc[first:]
+            if first:
+                yield work(pdf.iloc[:first])
+        if rest is not None:
+            yield work(rest)
+
+    return rows.repartition("outcome", "feat").sortWithinPartitions("outcome", "feat").mapInPandas(run, schema)
+
+
+def _runs(pdf: pd.DataFrame) -> np.ndarray:
+    """Where each (outcome, feat) begins."""
+    feat, outcome = pdf["feat"].to_numpy(), pdf["outcome"].to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (feat[1:] != feat[:-1]) | (outcome[1:] != outcome[:-1])]))
+
+
 def auc_permutation_p(ft: DataFrame, analysis: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:
     """(outcome, feat, auc, p): the share of permuted outcomes whose AUC is as far from .5 or farther.
 
     Only the stored rows and the count of zeros of a feature go to its task: the permutations deal the positives to
-    stored ranks and to the block of zeros.
+    stored ranks and to the block of zeros. They depend on the feature's name and the seed alone.
     """
     totals = _totals(analysis)
     rows = _feature_ranks(_rows(ft, analysis), totals).join(totals.select("outcome", F.col("sy").alias("n1")), "outcome")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, n1, zeros, zr = int(pdf["n"].iloc[0]), int(pdf["n1"].iloc[0]), int(pdf["zeros"].iloc[0]), float(pdf["zero_rank"].iloc[0])
-        out = {"outcome": [pdf["outcome"].iloc[0]], "feat": [pdf["feat"].iloc[0]]}
-        if not 0 < n1 < n:
-            return pd.DataFrame(out | {"auc": [None], "p": [1.0]})
-        ranks = np.sort(pdf["rank"].to_numpy(float))
-        of = lambda r1: (r1 - n1 * (n1 + 1) / 2) / (n1 * (n - n1))
-        y = pdf["y"].to_numpy(float)
-        a = of(float((pdf["rank"] * y).sum()) + zr * (n1 - y.sum()))
-        rng = np.random.default_rng(abs(hash((seed, len(ranks), n, n1))) % (1 << 32))
-        hits = rng.hypergeometric(len(ranks), zeros, n1, permutations) if zeros else np.full(permutations, n1)
-        far = sum(abs(of(rng.choice(ranks, k, replace=False).sum() + zr * (n1 - k)) - 0.5) >= abs(a - 0.5) - 1e-12 for k in hits)
-        return pd.DataFrame(out | {"auc": [a], "p": [far / permutations]})
-
-    cut = rows.select("outcome", "feat", "rank", "y", "n", "n1", "zeros", "zero_rank")
-    out = cut.groupBy("outcome", "feat").applyInPandas(test, "outcome string, feat string, auc double, p double")
-    return out.withColumn("auc", F.when(F.col("auc") < 0.5, F.col("auc") - 1).otherwise(F.col("auc")))
+        begin = _runs(pdf)
+        ranks_of, y_of, keys = pdf["rank"].to_numpy(float), pdf["y"].to_numpy(float), pdf["key"].to_numpy()
+        head = pdf.iloc[begin]
+        out, p = [], []
+        for lo, hi, key, n, n1, zeros, zr in zip(begin, [*begin[1:], len(pdf)], keys[begin], head["n"], head["n1"], head["zeros"], head["zero_rank"]):
+            n, n1, zeros = int(n), int(n1), int(zeros)
+            if not 0 < n1 < n:
+                out.append(None)
+                p.append(1.0)
+                continue
+            order = np.argsort(ranks_of[lo:hi], kind="stable")
+            ranks = ranks_of[lo:hi][order]
+            scale = n1 * (n - n1)
+            a = (float((ranks * y_of[lo:hi][order]).sum()) + zr * (n1 - y_of[lo:hi].sum()) - n1 * (n1 + 1) / 2) / scale
+            rng = np.random.default_rng([seed, int(key) & 0xFFFFFFFFFFFFFFFF])
+            hits = rng.hypergeometric(len(ranks), zeros, n1, permutations) if zeros else np.full(permutations, n1)
+            far, step = 0, max(1, (1 << 20) // len(ranks))
+            for at in range(0, permutations, step):
+                k = hits[at : at + step]
+                # the sum of k ranks drawn without replacement, for each permutation
+                dealt = np.argsort(rng.random((len(k), len(ranks))), axis=1)
+                sums = np.concatenate([np.zeros((len(k), 1)), np.cumsum(ranks[dealt], axis=1)], axis=1)[np.arange(len(k)), k]
+                far += int((np.abs((sums + zr * (n1 - k) - n1 * (n1 + 1) / 2) / scale - 0.5) >= abs(a - 0.5) - 1e-12).sum())
+            out.append(a)
+            p.append(far / permutations)
+        return pd.DataFrame({"outcome": head["outcome"].to_numpy(), "feat": head["feat"].to_numpy(), "auc": pd.Series(out, dtype=float), "p": p})
+
+    cut = rows.select("outcome", "feat", F.xxhash64("outcome", "feat").alias("key"), "rank", "y", "n", "n1", "zeros", "zero_rank")
+    out = _by_feature(cut, test, "outcome string, feat string, auc double, p double")
+    auc_ = F.when(~F.isnan("auc"), F.col("auc"))
+    return out.withColumn("auc", F.when(auc_ < 0.5, auc_ - 1).otherwise(auc_))
 
 
 def cohens_d(ft: DataFrame, analysis: DataFrame) -> DataFrame:
@@ -362,30 +409,36 @@ def logistic(ft: DataFrame, analysis: DataFrame, steps: int = 50) -> DataFrame:
     rows = _rows(ft, analysis).join(totals, "outcome").select("outcome", "feat", "x", "y", "value", "n", "n1")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, n, n1 = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), int(pdf["n"].iloc[0]), float(pdf["n1"].iloc[0])
-        beta = p = None
-        mean = x.sum() / n
-        std = np.sqrt(max((x * x).sum() / n - mean * mean, 0))
-        if std > TINY:
-            z = np.concatenate([(x - mean) / std, [-mean / std] * 2])
-            t = np.concatenate([y, [0, 1]])
-            w = np.concatenate([np.ones(len(x)), [n - len(x) - (n1 - y.sum()), n1 - y.sum()]])
-            b = 0.0
+        begin = _runs(pdf)
+        head, sizes = pdf.iloc[begin], np.diff(begin, append=len(pdf))
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        n, n1 = head["n"].to_numpy(float), head["n1"].to_numpy(float)
+        of = lambda v: np.add.reduceat(v, begin)
+        mean = of(x) / n
+        std = np.sqrt(np.maximum(of(x * x) / n - mean * mean, 0))
+        live = std > TINY
+        scale = np.where(live, std, 1)
+        z, z0 = (x - np.repeat(mean, sizes)) / np.repeat(scale, sizes), -mean / scale
+        w0, w1 = n - sizes - (n1 - of(y)), n1 - of(y)  # zeros of either outcome
+        b, info, done = np.zeros(len(begin)), np.zeros(len(begin)), np.zeros(len(begin), bool)
+        with np.errstate(all="ignore"):
             for _ in range(steps):
-                q = 1 / (1 + np.exp(-np.clip(b * z, -500, 500)))
-                info = (w * q * (1 - q) * z * z).sum()
-                if info < 1e-10:
-                    break
-                step = (w * (t - q) * z).sum() / info
-                b += step
-                if abs(step) < 1e-10:
-                    import math
-
-                    beta, p = float(b), math.erfc(abs(b * np.sqrt(info)) / math.sqrt(2))
+                if not live.any():
                     break
-        return pd.DataFrame({"outcome": [pdf["outcome"].iloc[0]], "feat": [pdf["feat"].iloc[0]], "beta": [beta], "p": [p], "n": [n], "freq": [float(pdf["value"].sum())]})
-
-    return rows.groupBy("outcome", "feat").applyInPandas(fit, "outcome string, feat string, beta double, p double, n long, freq double")
+                q, q0 = 1 / (1 + np.exp(-np.clip(np.repeat(b, sizes) * z, -500, 500))), 1 / (1 + np.exp(-np.clip(b * z0, -500, 500)))
+                fresh = of(q * (1 - q) * z * z) + (w0 + w1) * q0 * (1 - q0) * z0 * z0
+                live = live & (fresh >= 1e-10)
+                info = np.where(live, fresh, info)
+                step = np.where(live, (of((y - np.where(np.repeat(live, sizes), q, 0)) * z) + (w1 * (1 - q0) - w0 * q0) * z0) / np.where(live, fresh, 1), 0)
+                b = b + step
+                ended = live & (np.abs(step) < 1e-10)
+                done |= ended
+                live &= ~ended
+        p = [math.erfc(v) if ok else None for v, ok in zip(np.abs(b * np.sqrt(info)) / math.sqrt(2), done)]
+        beta = pd.Series(b).astype(object).where(done, None)
+        return pd.DataFrame({"outcome": head["outcome"].to_numpy(), "feat": head["feat"].to_numpy(), "beta": beta, "p": pd.Series(p, dtype=object), "n": head["n"].to_numpy(), "freq": of(pdf["value"].to_numpy(float))})
+
+    return _by_feature(rows, fit, "outcome string, feat string, beta double, p double, n long, freq double")
 
 
 # ---- multiple testing ------------------------------------------------------------------------------------------------
@@ -606,11 +659,18 @@ def topics_without_duplicates(correlations: DataFrame, topic_words: DataFrame, s
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(a=pdf["r"].abs()).sort_values(["a", "feat"], ascending=[False, True])
-        seen, kept = [], []
-        for terms in pdf["terms"]:
+        lists: dict[str, list[int]] = {}
+        kept = []
+        for number, terms in enumerate(pdf["terms"]):
             terms = set(terms)
-            kept.append(not any(len(terms & s) > share * len(terms) for s in seen))
-            seen.append(terms)
+            few = math.floor(share * len(terms)) + 1  # shared with one earlier topic, they are too many
+            if few == 1:
+                kept.append(not any(t in lists for t in terms))
+            else:
+                met = Counter(i for t in terms for i in lists.get(t, ()))
+                kept.append(max(met.values(), default=0) < few)
+            for t in terms:
+                lists.setdefault(t, []).append(number)
         return pdf.loc[kept, ["outcome", "feat", "r"]]
 
     return rows.select("outcome", "feat", "r", "sign", "terms").groupBy("outcome", "sign").applyInPandas(keep, "outcome string, feat string, r double")
@@ -666,26 +726,34 @@ def stratified_z(rows: DataFrame, key: str, y: str, x0: str) -> DataFrame:
 
 
 def loess(ft: DataFrame, analysis: DataFrame, feats: list[str], span: float = 0.85, points: int = 50) -> DataFrame:
-    """(outcome, feat, y, fitted): local linear fits of norms over an outcome, at points of its range, with tricube weights."""
-    chosen = ft.where(F.col("feat").isin(feats)).select("group_id", "feat", F.col("group_norm").cast("double").alias("x"))
-    every = analysis.crossJoin(ft.sparkSession.createDataFrame([(f,) for f in feats], "feat string")).join(chosen, ["group_id", "feat"], "left").select("outcome", "feat", F.col("y").cast("double").alias("y"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    """(outcome, feat, y, fitted): local linear fits of norms over an outcome, at points of its range, with tricube weights.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(float), pdf["x"].to_numpy(float)
-        at = np.linspace(y.min(), y.max(), points)
-        q = max(2, int(np.ceil(span * len(y))))
-        out = []
-        for p in at:
-            d = np.abs(y - p)
-            h = np.partition(d, min(q, len(d)) - 1)[min(q, len(d)) - 1]
-            w = (1 - np.clip(d / h, 0, 1) ** 3) ** 3 if h > 0 else (d == 0).astype(float)
-            sw, my, mx = w.sum(), (w * y).sum(), (w * x).sum()
-            var = (w * y * y).sum() - my * my / sw if sw else 0
-            slope = ((w * x * y).sum() - my * mx / sw) / var if var > TINY else 0.0
-            out.append(mx / sw + slope * (p - my / sw) if sw else np.nan)
-        return pd.DataFrame({"outcome": pdf["outcome"].iloc[0], "feat": pdf["feat"].iloc[0], "y": at, "fitted": out})
-
-    return every.groupBy("outcome", "feat").applyInPandas(fit, "outcome string, feat string, y double, fitted double")
+    The weights depend on the outcome alone, and zeros add nothing to the sums of norms: so the groups of an outcome are
+    summed once, and of each feature only the stored rows. The bandwidth at p is the least distance within which a share
+    `span` of the groups lie: these are neighbours in the order of y.
+    """
+    rows = analysis.select("outcome", "group_id", F.col("y").cast("double").alias("y"))
+    totals = rows.groupBy("outcome").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    totals = totals.withColumn("q", F.least("n", F.greatest(F.lit(2), F.ceil(F.col("n") * F.lit(float(span))))).cast("long"))
+    share = F.col("k") / F.lit(max(points - 1, 1))
+    at = totals.select("outcome", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).select("outcome", "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("p"))
+    ranked = rows.select("outcome", "y", F.row_number().over(W.partitionBy("outcome").orderBy("y")).alias("i"))
+    first = ranked.join(totals.select("outcome", "q"), "outcome").select("outcome", F.col("y").alias("low"), (F.col("i") + F.col("q") - 1).alias("i"))
+    spans = first.join(ranked.withColumnRenamed("y", "high"), ["outcome", "i"]).join(F.broadcast(at), "outcome")
+    h = spans.groupBy("outcome", "k").agg(F.min(F.greatest(F.col("p") - F.col("low"), F.col("high") - F.col("p"))).alias("h"))
+    at = at.join(h, ["outcome", "k"])  # a row for each outcome and point
+    y, d = F.col("y"), F.abs(F.col("y") - F.col("p"))
+    w = F.when(F.col("h") > 0, F.pow(1 - F.pow(F.least(d / F.col("h"), F.lit(1.0)), F.lit(3.0)), F.lit(3.0))).otherwise((d == 0).cast("double"))
+    base = rows.join(F.broadcast(at), "outcome").withColumn("w", w).groupBy("outcome", "k").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * y).alias("sy"), F.sum(F.col("w") * y * y).alias("syy"))
+    chosen = ft.where(F.col("feat").isin(feats)).select("group_id", "feat", F.col("group_norm").cast("double").alias("x"))
+    stored = chosen.join(rows, "group_id").join(F.broadcast(at), "outcome").withColumn("w", w)
+    sums = stored.groupBy("outcome", "feat", "k").agg(F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("x") * y).alias("sxy"))
+    every = at.join(base, ["outcome", "k"]).withColumn("feat", F.explode(F.array(*[F.lit(f) for f in feats])))
+    s = every.join(sums, ["outcome", "feat", "k"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("sx", "sxy")})
+    sw, sy, sx = F.col("sw"), F.col("sy"), F.col("sx")
+    var = F.col("syy") - sy * sy / sw
+    slope = F.when(var > TINY, (F.col("sxy") - sy * sx / sw) / var).otherwise(0.0)
+    return s.select("outcome", "feat", F.col("p").alias("y"), F.when(sw > 0, sx / sw + slope * (F.col("p") - sy / sw)).alias("fitted"))
 
 
 def column_statistics(table: DataFrame, columns: list[str]) -> DataFrame:

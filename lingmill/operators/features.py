@@ -101,7 +101,7 @@ def paired_t_test(a: DataFrame, b: DataFrame, groups: DataFrame | None = None) -
     """Of each feature of both tables over their common groups: paired t, one-tailed p, d and N.
 
     Absent pairs are zeros of the closed forms; spreads are those of the population; d is the mean of b's numbers as
-    z-scores of a's. t is null where all differences are alike.
+    z-scores of a's. t is null where all differences are alike: where they spread by less than 1e-5 of their size.
     """
     a, b = within(a, groups), within(b, groups)
     common = a.select("group_id").distinct().join(b.select("group_id").distinct(), "group_id")
@@ -114,10 +114,9 @@ def paired_t_test(a: DataFrame, b: DataFrame, groups: DataFrame | None = None) -
     n = common.agg(F.count("*").alias("N"))
     s = sums.crossJoin(F.broadcast(n))
     mean = F.col("sd") / F.col("N")
-    spread = F.sqrt(F.greatest(F.col("sdd") / F.col("N") - mean * mean, F.lit(0.0)))
-    sx = F.sqrt(F.greatest(F.col("sxx") / F.col("N") - F.pow(F.col("sx") / F.col("N"), F.lit(2.0)), F.lit(0.0)))
-    t = F.when(spread > 1e-12, mean / (spread / F.sqrt("N")))
-    d = F.when(sx > 1e-12, (F.col("sy") - F.col("sx")) / F.col("N") / sx)
+    spread = lambda squares, m: F.when(squares - m * m > squares * F.lit(1e-10), F.sqrt(squares - m * m))
+    t = mean / (spread(F.col("sdd") / F.col("N"), mean) / F.sqrt("N"))
+    d = (F.col("sy") - F.col("sx")) / F.col("N") / spread(F.col("sxx") / F.col("N"), F.col("sx") / F.col("N"))
     return s.select("feat", t.alias("t"), d.alias("d"), "N").withColumn("p_1tail", p_of_t("t", F.col("N") - 1) / 2)
 
 

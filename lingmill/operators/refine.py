@@ -57,8 +57,9 @@ def collocation_pmi(ft: DataFrame, words: DataFrame) -> DataFrame:
 def pmi_filter(ft: DataFrame, words: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Single words, and collocations whose PMI is above threshold for each word after the first."""
     good = collocation_pmi(ft, words).where(F.col("pmi") > (F.col("length") - 1) * threshold).select("feat")
-    single = F.size(tokenize(F.col("feat"))) <= 1
-    return ft.where(single).unionByName(ft.where(~single).join(good, "feat", "left_semi"))
+    # each distinct feature is cut once, not every stored row
+    single = ft.groupBy("feat").agg(F.sum("value").alias("freq")).where(F.size(tokenize(F.col("feat"))) <= 1).select("feat")
+    return ft.join(good.unionByName(single), "feat", "left_semi")
 
 
 def salience(pmi: Column, freq: Column) -> Column:

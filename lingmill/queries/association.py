@@ -30,6 +30,9 @@ def analysis(spark, sf, binary: bool = False):
     return y if binary else y.unionByName(O.long_outcomes(table(spark, sf, "documents"), "doc_id", ["n_chars"]))
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 def customers(spark, sf):
     """Features of customers, two outcomes, and two controls."""
     by = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("feat")).agg(F.count("*").alias("value"))
@@ -131,8 +134,7 @@ def a5(spark, sf):
 
 @query("a6_logistic")
 def a6(spark, sf):
-    ft = R.occurrence_filter(words(spark, sf, "doc_id"), 0.05)
-    return A.logistic(ft, analysis(spark, sf, True))
+    return A.logistic(words(spark, sf, "doc_id"), analysis(spark, sf, True))
 
 
 @query(
@@ -160,7 +162,7 @@ def a9(spark, sf):
 
 @query("a9_auc_permutations")
 def a9b(spark, sf):
-    return A.auc_permutation_p(R.occurrence_filter(words(spark, sf, "doc_id"), 0.1), analysis(spark, sf, True), 200)
+    return A.auc_permutation_p(words(spark, sf, "doc_id"), analysis(spark, sf, True))
 
 
 IDP = """s AS (SELECT outcome, sum(c1) AS s1, sum(c2) AS s2, sum(f) AS a FROM k GROUP BY 1), t AS (SELECT outcome, feat, f, c1 + s1 / a * f AS t1, c2 + s2 / a * f AS t2, s1 / a * a + s1 AS b1, s2 / a * a + s2 AS b2 FROM k JOIN s USING (outcome)),
@@ -249,12 +251,12 @@ def r14(spark, sf):
 @query("a16_topics_without_duplicates")
 def a16(spark, sf):
     r = A.pearson(words(spark, sf, "doc_id", n=2), analysis(spark, sf, True), with_p=False)
-    return A.topics_without_duplicates(R.occurrence_filter(r.withColumnsRenamed({"outcome": "group_id", "freq": "value"}), 2).withColumnsRenamed({"group_id": "outcome"}).where("value >= 30"), r.select("feat", F.explode(F.split("feat", " ")).alias("term")).distinct())
+    return A.topics_without_duplicates(r, r.select("feat", F.explode(F.split("feat", " ")).alias("term")).distinct())
 
 
 @query("a17_phrases_without_repeats")
 def a17(spark, sf):
-    r = A.pearson(R.occurrence_filter(words(spark, sf, "doc_id", n=2), 0.02), analysis(spark, sf, True), with_p=False)
+    r = A.pearson(words(spark, sf, "doc_id", n=2), analysis(spark, sf, True), with_p=False)
     return A.phrases_without_repeats(r, words(spark, sf, "doc_id").groupBy("feat").agg(F.sum("value").alias("freq")))
 
 
@@ -283,7 +285,7 @@ def a19b(spark, sf):
 @query("a20_loess")
 def a20(spark, sf):
     ft, y, _ = customers(spark, sf)
-    return A.loess(ft, y, ["1-URGENT", "5-LOW"])
+    return A.loess(ft, y, PRIORITIES)
 
 
 POLY = "(1 + 0.049867347 * z + 0.0211410061 * z ** 2 + 0.0032776263 * z ** 3 + 0.0000380036 * z ** 4 + 0.0000488906 * z ** 5 + 0.000005383 * z ** 6) ** -16"
@@ -335,7 +337,7 @@ def a24(spark, sf):
 def a25(spark, sf):
     ft, _, _ = customers(spark, sf)
     o = table(spark, sf, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
-    _, loadings, _ = A.canonical_correlation(ft, o, ["balance", "nation"], ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"])
+    _, loadings, _ = A.canonical_correlation(ft, o, ["balance", "nation"], PRIORITIES)
     return spark.createDataFrame(loadings, "side string, name string, component int, weight double")
 
 
@@ -362,10 +364,10 @@ def a26d(spark, sf):
     return A.histogram_2d(table(spark, sf, "part"), "p_size", "p_retailprice", 5)
 
 
-@query("s13_correlation_matrix", f"WITH {FT}, {Y}, {DENSE}, s AS (SELECT outcome, feat, {R_SQL} AS r, count(*) AS n FROM x GROUP BY 1, 2) SELECT feat AS feature, round(coalesce(max(r) FILTER (outcome = 'quality'), 0), 5) AS quality, coalesce(max(n) FILTER (outcome = 'quality'), 0) AS quality_n, round(coalesce(max(r) FILTER (outcome = 'n_chars'), 0), 5) AS n_chars, coalesce(max(n) FILTER (outcome = 'n_chars'), 0) AS n_chars_n FROM s GROUP BY 1")
+@query("s13_correlation_matrix", f"WITH {FT}, {Y}, {DENSE}, s AS (SELECT outcome, feat, {R_SQL} AS r, count(*) AS n FROM x GROUP BY 1, 2) SELECT feat AS feature, round(coalesce(max(r) FILTER (outcome = 'quality'), 0), 5) AS quality, coalesce(max(n) FILTER (outcome = 'quality'), 0) AS quality_n, round(coalesce(max(r) FILTER (outcome = 'n_chars'), 0), 5) AS n_chars, coalesce(max(n) FILTER (outcome = 'n_chars'), 0) AS n_chars_n, round(coalesce(max(r) FILTER (outcome = 'toxic'), 0), 5) AS toxic, coalesce(max(n) FILTER (outcome = 'toxic'), 0) AS toxic_n FROM s GROUP BY 1")
 def s13(spark, sf):
     r = A.pearson(words(spark, sf, "doc_id"), analysis(spark, sf), with_p=False).select("outcome", "feat", "r", "n")
-    return _rounded(A.correlation_matrix(r, ["quality", "n_chars"]), "quality", "n_chars")
+    return _rounded(A.correlation_matrix(r, ["quality", "n_chars", "toxic"]), "quality", "n_chars", "toxic")
 
 
 @query("s13_sorted_correlations", f"WITH {FT}, {Y}, {DENSE}, s AS (SELECT outcome, feat, round({R_SQL}, 5) AS r FROM x GROUP BY 1, 2) SELECT outcome, feat, r, row_number() OVER (PARTITION BY outcome ORDER BY r DESC NULLS LAST, feat) AS rank FROM s")

@@ -48,9 +48,13 @@ def grams_sql(n: int, group: str = "source", text: str = "text", source: str = "
 
     keep = feature_length(n) if length is None else length
     toks = tokens or tokens_sql(text)
-    return f"""(SELECT group_id, substring(array_to_string(toks[i:i + {n - 1}], ' '), 1, {keep}) AS feat
-      FROM (SELECT group_id, toks, unnest(range(1, len(toks) - {n - 2})) AS i
-        FROM (SELECT {group} AS group_id, {toks} AS toks FROM {source} WHERE {group} IS NOT NULL AND {text} IS NOT NULL)))"""
+    rows = f"(SELECT {group} AS group_id, {toks} AS toks FROM {source} WHERE {group} IS NOT NULL AND {text} IS NOT NULL)"
+    if n == 1:
+        return f"(SELECT group_id, substring(w, 1, {keep}) AS feat FROM (SELECT group_id, unnest(toks) AS w FROM {rows}))"
+    gram = " || ' ' || ".join(["w", *[f"lead(w, {k}) OVER o" for k in range(1, n)]])
+    return f"""(SELECT group_id, substring({gram}, 1, {keep}) AS feat
+      FROM (SELECT d, group_id, unnest(toks) AS w, unnest(range(len(toks))) AS i FROM (SELECT *, row_number() OVER () AS d FROM {rows}))
+      WINDOW o AS (PARTITION BY d ORDER BY i) QUALIFY lead(w, {n - 1}) OVER o IS NOT NULL)"""
 
 
 def features_sql(n: int, group: str = "source", **kw) -> str:

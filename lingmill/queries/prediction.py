@@ -10,6 +10,7 @@ from lingmill.operators import predict as P
 from lingmill.operators import reduce as D
 from lingmill.queries.base import query, table, tokens_sql, words
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 FEATS = ["the", "of", "and", "to", "in", "de", "la", "der"]
 
 
@@ -26,7 +27,7 @@ def _rows(spark, sf, folds: int = 5):
     c = table(spark, sf, "customer")
     y = O.folds(O.long_outcomes(c.select("c_custkey", (F.col("c_acctbal") + 500 * F.col("c_nationkey")).alias("balance")), "c_custkey", ["balance"]), folds)
     controls = c.select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").cast("double").alias("nation"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("building"))
-    return P.aligned(ft, y, ["1-URGENT", "2-HIGH", "3-MEDIUM"], controls, ["nation", "building"])
+    return P.aligned(ft, y, PRIORITIES, controls, ["nation", "building"])
 
 
 def _toxic(spark, sf):
@@ -71,8 +72,8 @@ def l3b(spark, sf):
 
 @query("l3_nmf")
 def l3c(spark, sf):
-    ft = words(spark, sf)
-    return D.to_lexicon(ft, D.nmf(ft, FEATS, 2, rounds=3))
+    ft = D.shifted_nonnegative(_vectors(spark, sf))
+    return D.to_lexicon(ft, D.nmf(ft, [str(i) for i in range(64)], 2))
 
 
 @query("l3_clusters")
@@ -225,7 +226,7 @@ def p17(spark, sf):
 @query("p17_ridge_lexicon")
 def p17b(spark, sf):
     m = P.fold_moments(_rows(spark, sf))["balance"]
-    return P.ridge_lexicon(spark, P.best_ridge(m, [0, 1, 2]), ["1-URGENT", "2-HIGH", "3-MEDIUM"], "balance")
+    return P.ridge_lexicon(spark, P.best_ridge(m, [0, 1, 2, 3, 4]), PRIORITIES, "balance")
 
 
 @query("p18_stacked")

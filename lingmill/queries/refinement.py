@@ -87,8 +87,8 @@ def g9(spark, sf):
     f"""WITH a AS (SELECT * FROM {features_sql(1, 'role', source='conversations')}), b AS (SELECT * FROM {features_sql(1, "'user'", source='conversations')} UNION ALL SELECT 'assistant', feat, value, group_norm FROM {features_sql(1, "'x'", source='conversations')}),
     g AS (SELECT DISTINCT group_id FROM a WHERE group_id IN (SELECT group_id FROM b)), f AS (SELECT DISTINCT feat FROM a WHERE feat IN (SELECT feat FROM b)),
     p AS (SELECT feat, coalesce(a.group_norm, 0) AS x, coalesce(b.group_norm, 0) AS y FROM g CROSS JOIN f LEFT JOIN a USING (group_id, feat) LEFT JOIN b USING (group_id, feat)),
-    s AS (SELECT feat, avg(x - y) AS md, stddev_pop(x - y) AS sd, stddev_pop(x) AS sx, avg(y) - avg(x) AS up, count(*) AS "N" FROM p GROUP BY 1)
-    SELECT feat, round(CASE WHEN sd > 1e-6 THEN md / (sd / sqrt("N")) END, 4) AS t, round(CASE WHEN sx > 1e-6 THEN up / sx END, 4) AS d, "N" FROM s""",
+    s AS (SELECT feat, avg(x - y) AS md, stddev_pop(x - y) AS sd, stddev_pop(x) AS sx, sqrt(avg((x - y) ** 2)) AS qd, sqrt(avg(x * x)) AS qx, avg(y) - avg(x) AS up, count(*) AS "N" FROM p GROUP BY 1)
+    SELECT feat, round(CASE WHEN sd > 1e-5 * qd THEN md / (sd / sqrt("N")) END, 4) AS t, round(CASE WHEN sx > 1e-5 * qx THEN up / sx END, 4) AS d, "N" FROM s""",
 )
 def g10(spark, sf):
     a = words(spark, sf, "role", "conversations")

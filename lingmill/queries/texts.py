@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lingmill.functions import text as X
 from lingmill.functions import transforms as V
 from lingmill.functions.tokenize import TOKEN, tokenize
 from lingmill.operators import messages as M
+from lingmill.operators.lexicon import categories_of
 from lingmill.queries.base import SHRUNK, SHRUNK_ONCE, query, quoted, table, tokens_sql
 
 
@@ -114,16 +117,15 @@ def t15(spark, sf):
 
 @query(
     "t16_wildcard_match",
-    f"""WITH w AS (SELECT DISTINCT unnest({tokens_sql('text', False)}) AS word FROM documents), p AS (SELECT DISTINCT lower(p_type[1:4]) AS prefix FROM part UNION SELECT DISTINCT left(word, 4) FROM w WHERE length(word) >= 9)
-    SELECT word, count(*) AS patterns FROM w JOIN p ON starts_with(word, prefix) WHERE length(prefix) >= 3 GROUP BY word""",
+    f"""WITH w AS (SELECT DISTINCT unnest({tokens_sql('text', False)}) AS word FROM documents), p AS (SELECT DISTINCT lower(p_type[1:4]) AS prefix FROM part UNION SELECT DISTINCT lower(left(word, 4)) FROM w WHERE length(word) >= 9)
+    SELECT word, count(*) AS patterns FROM w JOIN p ON starts_with(lower(word), prefix) WHERE length(prefix) >= 3 AND NOT contains(prefix, '*') GROUP BY word""",
 )
 def t16(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(tokenize(F.col("text"))).alias("word")).distinct()
+    words = table(spark, sf, "documents").select(F.explode(tokenize(F.col("text"))).alias("feat")).distinct()
     parts = table(spark, sf, "part").select(F.lower(F.substring("p_type", 1, 4)).alias("prefix"))
-    patterns = parts.unionByName(words.where(F.length("word") >= 9).select(F.substring("word", 1, 4).alias("prefix"))).distinct()
-    lengths = F.sequence(F.lit(3), F.length("word"))
-    prefixes = words.where(F.length("word") >= 3).select("word", F.explode(F.transform(lengths, lambda i: F.substring("word", F.lit(1), i))).alias("prefix"))
-    return prefixes.join(patterns, "prefix").groupBy("word").agg(F.count("*").alias("patterns"))
+    prefixes = parts.unionByName(words.where(F.length("feat") >= 9).select(F.lower(F.substring("feat", 1, 4)).alias("prefix"))).where(~F.col("prefix").contains("*")).distinct()
+    lexicon = prefixes.select(F.concat("prefix", F.lit("*")).alias("term"), F.col("prefix").alias("category"), F.lit(1.0).alias("weight"))
+    return categories_of(words, lexicon).groupBy(F.col("feat").alias("word")).agg(F.count("*").alias("patterns"))
 
 
 @query(
@@ -208,9 +210,32 @@ def m9(spark, sf):
     return M.without_spam(table(spark, sf, "documents").select("doc_id", "source", "text"), "source", "text", SPAM, 0.05).drop("text")
 
 
-@query("m10_language_filter", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'es')")
+COMMON = {"en": ("the", "of", "and"), "es": ("el", "que", "los"), "de": ("der", "die", "und"), "fr": ("le", "les", "des")}
+
+
+def by_common_words(texts: list[str]) -> list[tuple[str, float]]:
+    """The language of which a text has most common words (of equal ones the first by name), and their share."""
+    found = []
+    for words in (re.findall(r"[a-z]+", t.lower()) for t in texts):
+        n = {k: sum(w in of for w in words) for k, of in sorted(COMMON.items())}
+        best = max(n, key=lambda k: n[k])
+        found.append((best, n[best] / max(sum(n.values()), 1)))
+    return found
+
+
+COMMON_SQL = ", ".join(f"len(list_filter(ws, lambda w: w IN ({', '.join(map(quoted, of))}))) AS {k}" for k, of in sorted(COMMON.items()))
+
+
+@query(
+    "m10_language_filter",
+    f"""WITH n AS (SELECT doc_id, {COMMON_SQL} FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents)),
+    k AS (SELECT doc_id, greatest(de, en, es, fr) / greatest(de + en + es + fr, 1) AS p, CASE greatest(de, en, es, fr) WHEN de THEN 'de' WHEN en THEN 'en' WHEN es THEN 'es' ELSE 'fr' END AS language FROM n)
+    SELECT doc_id, CASE WHEN language = 'es' AND p < 0.95 OR language = 'en' AND p > 0.6 THEN 'en' ELSE language END AS language FROM k
+    WHERE CASE WHEN language = 'es' AND p < 0.95 OR language = 'en' AND p > 0.6 THEN TRUE ELSE p > 0.8 AND language IN ('en', 'es') END""",
+)
 def m10(spark, sf):
-    return table(spark, sf, "documents").where(F.col("lang").isin("en", "es")).select("doc_id", "lang")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return M.in_languages(docs, by_common_words, ["en", "es"], "text", light_english=True).select("doc_id", "language")
 
 
 @query("m11_words_by_group", "SELECT source AS group_id, sum(n) AS num_words FROM (SELECT source, doc_id, max(n_chars) AS n FROM documents WHERE source IS NOT NULL GROUP BY source, doc_id) GROUP BY source")
