@@ -33,8 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lingmill.llm.arrays import mapped, put
 from lingmill.llm.common import new_path, small, trim, written
-from lingmill.llm.kneser_ney import mapped, put
 
 K = 10
 M = 8

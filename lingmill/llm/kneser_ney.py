@@ -25,8 +25,6 @@ an empty result. Only the two named columns are read.
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,16 +32,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lingmill.llm.arrays import mapped, put
 from lingmill.llm.common import new_path, trim, written
 from lingmill.llm.textvec import GOLDEN, codepoints, lowered, mix, slices, words
 
 BOS, EOS = np.uint64(1), np.uint64(2)
 FLUSH_WORDS = 4 << 20
 SHARD_WORDS = 2 << 20
+BLOCK_WORDS = 1 << 19  # that are scored at once
 UNIGRAM_WORDS = 1 << 27
 SAMPLE_DOCS = 20_000
 _BITS = 21
@@ -228,59 +227,6 @@ def lookup(t: dict[str, np.ndarray], hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def put(path: str, tables: dict[str, dict[str, np.ndarray]]) -> str:
-    """Writes tables as one file of aligned arrays; returns its name, which no other attempt shares."""
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(path)
-    system.create_dir(base, recursive=True)
-    name = uuid.uuid4().hex
-    layout, at = {}, 0
-    for t, arrays in tables.items():
-        for a, x in arrays.items():
-            layout[f"{t}/{a}"] = (at, str(x.dtype), list(x.shape))
-            at += -(-x.nbytes // 64) * 64
-    head = json.dumps(layout).encode()
-    head = len(head).to_bytes(8, "little") + head
-    head += b" " * (-len(head) % 64)
-    with system.open_output_stream(f"{base}/{name}", compression=None) as out:
-        out.write(head)
-        for arrays in tables.values():
-            for x in arrays.values():
-                out.write(np.ascontiguousarray(x).tobytes())
-                out.write(b"\0" * (-x.nbytes % 64))
-    return name
-
-
-def _local(path: str, name: str) -> str:
-    """A path to map: the file itself, or a copy in the executor's own Spark folder."""
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(path)
-    if isinstance(system, fs.LocalFileSystem):
-        return f"{base}/{name}"
-    here = f"{SparkFiles.getRootDirectory()}/{name}"
-    if not os.path.exists(here):
-        part = f"{here}.{uuid.uuid4().hex}"
-        with system.open_input_stream(f"{base}/{name}", compression=None) as src, open(part, "wb") as out:
-            while chunk := src.read(16 << 20):
-                out.write(chunk)
-        os.replace(part, here)
-    return here
-
-
-def mapped(path: str, name: str) -> dict[str, dict[str, np.ndarray]]:
-    raw = np.memmap(_local(path, name), np.uint8, "r")
-    size = int.from_bytes(raw[:8].tobytes(), "little")
-    base = -(-(8 + size) // 64) * 64
-    out: dict[str, dict[str, np.ndarray]] = {}
-    for key, (at, kind, shape) in json.loads(raw[8 : 8 + size].tobytes()).items():
-        t, a = key.split("/")
-        n = int(np.prod(shape))
-        out.setdefault(t, {})[a] = raw[base + at : base + at + n * np.dtype(kind).itemsize].view(kind).reshape(shape) if n else np.zeros(shape, kind)
-    return out
-
-
 # ---- merging ---------------------------------------------------------------------------------------------------------
 
 
@@ -456,8 +402,8 @@ def fit(docs: DataFrame, text="text", shard_words=SHARD_WORDS, flush_words=FLUSH
     ranges = max(1, -(-shards * shard_words // UNIGRAM_WORDS))
     first_hashes = [-(-(i << 32) // ranges) << 32 for i in range(ranges + 1)]
     blobs = texts.mapInArrow(count, "shard int, role int, blob binary")
-    # one partition a shard, so that a task holds the blobs of one only
-    stats = written(blobs.repartition(shards, "shard").groupBy("shard").applyInPandas(merged(layout, path, first_hashes), "shard int, name string, info string"), "shards").collect()
+    # one partition a shard, so that a task reads the blobs of one only
+    stats = written(blobs.repartitionById(shards, "shard").groupBy("shard").applyInPandas(merged(layout, path, first_hashes), "shard int, name string, info string"), "shards").collect()
     if not stats:
         return None
     infos = [json.loads(s["info"]) for s in stats]
@@ -606,7 +552,7 @@ def perplexity(docs: DataFrame, model: Model | None, id_column="doc_id", text="t
             if scorer:
                 for item in documents(batch.column(1)):
                     pending.append(item)
-                    if sum(len(x[1]) for x in pending) > 1 << 20:
+                    if sum(len(x[1]) for x in pending) > BLOCK_WORDS:
                         settle()
                 settle()
             fill = lambda x: pa.array(x, mask=np.asarray(count == 0))

@@ -41,8 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lingmill.llm.arrays import mapped, put
 from lingmill.llm.common import new_path, removed, small, trim, unused, written
-from lingmill.llm.kneser_ney import mapped, put
 from lingmill.llm.textvec import codepoints, lowered, mix, ngram_hashes, slices, words
 
 N = 3

@@ -28,20 +28,17 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import md5
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingmill.llm.common import new_path, written
-from lingmill.llm.kneser_ney import mapped, put
+from lingmill.llm.arrays import Numbers, numbers
+from lingmill.llm.common import written
 
 SEEDS = ("spam", "casino", "pills", "bets", "ads", "porn", "xxx", "viagra", "gambling", "escort", "warez")
 LONGEST = 63  # characters of a host label (RFC 1035): no word in one is longer
 HELD = 1 << 18  # distinct words or tokens that a task counts before it sends them
-SHARD_ROWS = 1 << 20
 ASKED = 1 << 17  # strings that are looked up at once
 IGNORED = {"www", "m", "blog"}
 _PARTS = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::\d*)?([^?#]*)", re.I)
@@ -92,55 +89,6 @@ def segment(name: str, logp: dict[str, float], unknown: float) -> list[str]:
     return words[::-1]
 
 
-class Numbers:
-    """A number for each of many strings, in mapped files: names has one for each shard, or None for one without strings."""
-
-    def __init__(self, path: str, names: list[str | None]):
-        self.path, self.names, self.open = path, names, {}
-
-    def __getstate__(self):
-        return {"path": self.path, "names": self.names, "open": {}}
-
-    def found(self, strings: Iterable[str]) -> dict[str, float]:
-        """The numbers of those strings that have one."""
-        by: dict[int, list] = {}
-        for t in strings:
-            key = md5(t.encode(), usedforsecurity=False).digest()
-            by.setdefault(int.from_bytes(key[:4], "big") * len(self.names) >> 32, []).append((key, t))
-        out = {}
-        for shard, asked in by.items():
-            if self.names[shard] is None:
-                continue
-            if shard not in self.open:
-                self.open[shard] = mapped(self.path, self.names[shard])["numbers"]
-            keys, numbers = self.open[shard]["keys"], self.open[shard]["numbers"]
-            want = np.array([k for k, _ in asked], "S16")
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == want)
-            out.update((asked[i][1], x) for i, x in zip(hit.tolist(), numbers[at[hit]].tolist()))
-        return out
-
-    def get(self, string: str, default: float | None = None) -> float | None:
-        return self.found([string]).get(string, default)
-
-
-def numbers(rows: DataFrame, string: str, number: Column, count: int) -> Numbers:
-    """Writes the numbers of count rows of distinct strings."""
-    shards, path = max(1, -(-count // SHARD_ROWS)), new_path(rows.sparkSession, "numbers")
-    key = F.md5(F.col(string))  # of its UTF-8
-    shard = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * shards, 32).cast("int")
-
-    def stored(part: pa.Table) -> pa.Table:
-        keys = np.array(part["key"].to_pylist(), "S16")
-        order = np.argsort(keys)
-        name = put(path, {"numbers": {"keys": keys[order], "numbers": part["number"].to_numpy()[order]}})
-        return pa.table({"shard": part["shard"].slice(0, 1).cast(pa.int32()), "name": pa.array([name])})
-
-    keyed = rows.select(shard.alias("shard"), F.unhex(key).alias("key"), number.cast("double").alias("number"))
-    names = dict(map(tuple, written(keyed.groupBy("shard").applyInArrow(stored, "shard int, name string"), "shards").collect()))
-    return Numbers(path, [names.get(i) for i in range(shards)])
-
-
 def word_model(pages: DataFrame, url="url", html="html") -> tuple[Numbers, float]:
     """(log probability of each word, that of an unseen one), from the visible text and URL tokens of all pages."""
 

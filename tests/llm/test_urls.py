@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from lingmill.llm import urls
+from lingmill.llm import arrays, urls
 
 
 def all_splits(name):
@@ -87,7 +87,8 @@ def test_concatenated_hosts_of_many_fitted_pages(spark):
 
 
 def test_rare_words_and_tokens_are_kept_beside_frequent_ones(spark, monkeypatch):
-    monkeypatch.setattr(urls, "SHARD_ROWS", 7, raising=False)
+    monkeypatch.setattr(arrays, "SHARD_ROWS", 7)
+    monkeypatch.setattr(urls, "HELD", 3)
     filler = spark.range(4, numPartitions=4).selectExpr("100000 + id AS page_id", "'https://plain.example.org/' || repeat('x/', 300000) AS url", "repeat('and ', 300000) AS html")
     rare = [(5000, "http://spam-zebra.example.com/quagga", "<p>zebra quagga</p>")]
     pages = site(spark).unionByName(filler).unionByName(spark.createDataFrame(rare, "page_id long, url string, html string"))
@@ -99,6 +100,14 @@ def test_rare_words_and_tokens_are_kept_beside_frequent_ones(spark, monkeypatch)
     assert urls.filtered(fresh, model).first()["host_words"] == "zebra quagga example"
 
 
+def test_long_words_are_words_too(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    rows = [(i, f"http://www{i}.example.org/{long}", f"<p>die {long} and cheap pills</p>") for i in range(3)]
+    model = urls.fit(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    fresh = spark.createDataFrame([(1, f"http://cheap{long}pills.example.net/"), (2, f"http://{'ab' * 40}.example.net/")], "page_id long, url string")
+    assert [r["host_words"] for r in urls.filtered(fresh, model).orderBy("page_id").collect()] == [f"cheap {long} pills example", "ab" * 40 + " example"]
+
+
 def test_nulls_empty_long_repeated_and_clashing_columns(spark):
     model = urls.fit(site(spark))
     rows = [(1, None, "a"), (2, "", "b"), (3, "nonsense", None), (None, "http://cheap-pills.example.com/win/1", "c"), (5, "http://" + "ab" * 2000 + ".com/x", None), (6, "http://a.b/", "d"), (6, "http://a.b/", "d")]
