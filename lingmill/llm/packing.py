@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lingmill.llm.common import small
+from lingmill.llm.common import small, written
 
 CAPACITY = 2048
 BUCKETS = 1 << 10
@@ -103,9 +103,11 @@ def pack(docs: DataFrame, length: Column | None = None, id_column="doc_id", text
     spark = docs.sparkSession
     sized = docs.select(F.col(id_column).alias("id"), (word_count(text) if length is None else length).cast("long").alias("total"))
     pieces = F.when(F.col("total") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / capacity).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    rows = sized.select("id", "total", F.explode(pieces).alias("piece")).select(
+    rows = sized.select("id", "total", F.explode(pieces).alias("piece"))
+    rows = rows.select(
         "id", "piece", F.greatest(F.lit(0), F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity)).cast("long").alias("length")
     )
+    rows = written(rows, "pieces")  # the texts are read and measured once
     histogram = {r["length"]: r["n"] for r in rows.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()}
     found = intervals(shortest_pack_first(histogram, capacity))
     bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
