@@ -2,9 +2,12 @@
 
 Texts are normalised character by character: letters and digits are lower-cased and stripped of accents, combining
 marks vanish, and every run of anything else is one space; the place of each remaining character in the original is
-kept. The patterns are all windows of `window` normalised words of every benchmark text (a text of `least` to
-`window` words is one pattern of all its words; a shorter one says nothing and is left out). Each document is scanned
-once, whole; matches are whole words. Consecutive hits of one item make a span in characters of the original.
+kept. The patterns are all windows of `window` normalised words of every benchmark text; a shorter text, down to an answer of
+one word, is one pattern of all its words. Each document is scanned once, whole; matches are whole words. Hits of one
+item make a span in characters of the original.
+
+find() reports them all (`least` is 1). without_contaminated() drops a document for texts of EVIDENCE words or more:
+that a document has the word "yes" doesn't say that it has the test; `least` is its parameter too.
 
 The automaton is broadcast as its patterns and built once a worker. Should the patterns exceed `limit` characters,
 they are split over several automata, so that a worker never holds more; each part then takes one scan.
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from lingmill.llm.textvec import codepoints, slices
 
 WINDOW = 8
-LEAST = 4
+LEAST = 1
+EVIDENCE = 4
 LIMIT = 1 << 25
 _DROP = 0xFFFFFFFF
 _LOW = 0x3000
@@ -201,7 +205,7 @@ def to_arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, columns=("text",), item="item_id", text="text", window=WINDOW, least=LEAST, limit=LIMIT) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, columns=("text",), item="item_id", text="text", window=WINDOW, least=EVIDENCE, limit=LIMIT) -> DataFrame:
     """The rows without any hit, with all their columns."""
     at = docs.columns.index(text)
     for part in parts(patterns(benchmark, list(columns), item, window, least), limit):

@@ -58,25 +58,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH bw AS (
-  SELECT DISTINCT item_id, array_to_string(ws[i:i + 7], ' ') AS win
-  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM
-    (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS ws FROM benchmark) WHERE len(ws) >= 8)
+  SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS win
+  FROM (SELECT item_id, ws, least(len(ws), 8) AS size, unnest(range(1, greatest(len(ws) - 8, 0) + 2)) AS i FROM
+    (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS ws FROM benchmark) WHERE len(ws) > 0)
 ), pieces AS (
   SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS k
   FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS ps FROM documents)
 ), placed AS (
   SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM pieces
 ), dw AS (
-  SELECT doc_id, lower(strip_accents(piece)) AS word, stop - length(piece) AS start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i
-  FROM placed WHERE regexp_matches(piece, '^[\\p{L}\\p{N}]')
+  SELECT doc_id, list(lower(strip_accents(piece)) ORDER BY k) AS ws, list(stop - length(piece) ORDER BY k) AS starts, list(stop ORDER BY k) AS stops
+  FROM placed WHERE regexp_matches(piece, '^[\\p{L}\\p{N}]') GROUP BY doc_id
 ), win AS (
-  SELECT doc_id, start, lead(stop, 7) OVER o AS stop,
-    word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o
-      || ' ' || lead(word, 5) OVER o || ' ' || lead(word, 6) OVER o || ' ' || lead(word, 7) OVER o AS win
-  FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, size, starts[i] AS start, stops[i + size - 1] AS stop, array_to_string(ws[i:i + size - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - size + 1, 0) + 1)) AS i FROM dw, (SELECT DISTINCT size FROM bw))
 )
 SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS "end", count(*) AS windows
-FROM win JOIN bw USING (win) GROUP BY doc_id, item_id
+FROM win JOIN bw USING (size, win) GROUP BY doc_id, item_id
 """
 
 

@@ -11,7 +11,7 @@ def text_of(n, seed):
     return " ".join(random.Random(seed).choices(W, k=n))
 
 
-def brute_force(docs, items, window=8, least=4):
+def brute_force(docs, items, window=8, least=1):
     """{(doc, item): (start, end, windows)} by comparing all windows of words with their places."""
     def words(text):
         out, cur, start, end = [], "", 0, 0
@@ -54,17 +54,19 @@ def test_against_brute_force(spark):
     docs = [
         (1, "start " + text_of(30, 1) + " end"), (2, loud), (3, text_of(500, 2)), (4, None), (5, ""), (6, "x QUE es aixo senor apfel birnen y"),
         (7, " ".join(text_of(30, 1).split()[3:12])), (8, " ".join(text_of(30, 1).split()[3:10])), (9, text_of(5000, 3) + " " + text_of(20, 9)), (None, text_of(20, 9)), (11, "one two three fourth"), (12, "ONE-two_three...four"),
-        (13, "zero one two three four" * 2),
+        (13, "zero one two three four" * 2), (14, "This is Too-SHORT!"), (15, "too shorter"),
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     b = spark.createDataFrame(items, "item_id long, text string")
     expected = {(k[0], k[1], *v) for k, v in brute_force(docs, items).items()}
     assert {tuple(r) for r in decontam.find(d, b).collect()} == expected
     assert (7, 1) in {e[:2] for e in expected} and 8 not in {e[0] for e in expected} and 12 in {e[0] for e in expected}
+    assert {e[:2] for e in expected if e[0] in (14, 15)} == {(14, 4)}  # a short answer, as whole words
     # several automata give the same
     assert {tuple(r) for r in decontam.find(d, b, limit=200).collect()} == expected
     clean = decontam.without_contaminated(d, b)
-    assert sorted(r["doc_id"] for r in clean.collect()) == sorted({x for x, _ in docs if x} - {e[0] for e in expected})
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted({x for x, _ in docs if x} - {x for x, _ in brute_force(docs, items, least=decontam.EVIDENCE)})
+    assert 14 in {r["doc_id"] for r in clean.collect()} and 14 not in {r["doc_id"] for r in decontam.without_contaminated(d, b, least=1).collect()}
     assert [r["doc_id"] for r in decontam.without_contaminated(d, b, limit=200).orderBy("doc_id").collect()] == [r["doc_id"] for r in clean.orderBy("doc_id").collect()]
 
 
