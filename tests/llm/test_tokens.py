@@ -1,4 +1,6 @@
+import math
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -30,9 +32,32 @@ def test_trie_against_enumeration(words):
     assert dict(tokens.forward(coded, PIECES)) == {w: best(w, PIECES)[1] for w in coded}
 
 
+def fitted(texts, pieces, rounds, alpha):
+    """Probabilities of the pieces by enumeration of splits, over all texts at once."""
+    n = Counter(w.encode() for t in texts for w in re.findall(tokens.PATTERN, t or ""))
+    for _ in range(rounds):
+        used = Counter()
+        for w, found in tokens.splits(sorted(n), pieces):
+            assert b"".join(reversed(found)) == w
+            for x in found:
+                used[x] += n[w]
+        used = {x: c for x, c in used.items() if x in pieces}
+        total = sum(used.values()) + alpha * len(pieces)
+        pieces = {x: math.log((used.get(x, 0) + alpha) / total) for x in pieces}
+    return pieces
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.text("abc é", min_size=1, max_size=8), max_size=20))
+def test_splits_have_the_best_score(words):
+    for w, found in tokens.splits(sorted(x.encode() for x in words), PIECES):
+        assert b"".join(reversed(found)) == w
+        assert sum(PIECES.get(x, tokens.UNKNOWN) for x in found) == pytest.approx(best(w, PIECES)[0])
+
+
 def test_documents_against_single_words(spark):
-    pieces = tokens.vocabulary()
     texts = ["The quick brown fox", "Über Äpfel, naïve!! 12345 __x", "", None, "same same same", "tab\t\n  new", "日本語 text", "a" * 3000 + " end", "same same same"]
+    pieces = fitted([*texts, "The"], tokens.vocabulary(), 2, 1.0)
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)] + [(None, "The", 1)], "doc_id long, text string, tokens int").repartition(2)
     got = {r["doc_id"]: (r["pretokens"], r["tokens"]) for r in tokens.token_counts(docs).collect()}
     assert set(got) == {*range(len(texts)), None}
@@ -43,9 +68,18 @@ def test_documents_against_single_words(spark):
     assert got[2] == got[3] == (0, 0)
 
 
+def test_probabilities_follow_the_corpus(spark):
+    texts = ["the cat and the hat"] * 5 + ["that hatter"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    pieces = tokens.vocabulary()
+    got = tokens.fit(tokens.pretokens(docs), pieces, 2, 1.0)
+    assert got == pytest.approx(fitted(texts, pieces, 2, 1.0)) and sum(map(math.exp, got.values())) == pytest.approx(1)
+    assert got[b" the"] == got[b" cat"] > got[b" hatred"] == got[b" dog"]
+
+
 def test_scores_match_a_library_on_the_same_pieces():
     tk = pytest.importorskip("tokenizers")
-    pieces = {k.decode(): v for k, v in tokens.vocabulary().items() if k.isascii() and k.decode().isalpha()}
+    pieces = {k.decode(): -math.log(i + 3) for i, k in enumerate(tokens.vocabulary()) if k.isascii() and k.decode().isalpha()}
     order = list(pieces.items())
     model = tk.Tokenizer(tk.models.Unigram([("<unk>", -50.0), *order], 0, False))
     coded = {k.encode(): v for k, v in order}
@@ -61,6 +95,8 @@ def test_forgetting_changes_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word{i} other{i % 7}") for i in range(200)], "doc_id long, text string").coalesce(1)
     first = sorted(map(tuple, tokens.token_counts(docs).collect()))
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    monkeypatch.setattr(tokens, "HELD", 5)
+    monkeypatch.setattr(tokens, "RANGE_ROWS", 16)
     assert sorted(map(tuple, tokens.token_counts(docs).collect())) == first
 
 
