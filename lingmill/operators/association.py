@@ -447,7 +447,8 @@ def logistic(ft: DataFrame, analysis: DataFrame, steps: int = 50) -> DataFrame:
 def corrected(results: DataFrame, method: str = "bh", p: str = "p", alpha: float = 0.05) -> DataFrame:
     """results with p_corrected, by outcome. A null p counts as 1.
 
-    bonferroni, holm, hochberg, bh, by, sidak, holm-sidak, simes (BH without its step-up), tsbh (BH in two stages), hommel.
+    bonferroni, holm, hochberg, bh, by, sidak, holm-sidak, simes (BH without its step-up), tsbh and tsbky (in two stages, by Benjamini and Hochberg and
+    by Benjamini, Krieger and Yekutieli), hommel.
     """
     every = W.partitionBy("outcome")
     up = every.orderBy(F.col("__p"), F.col("feat"))
@@ -475,10 +476,13 @@ def corrected(results: DataFrame, method: str = "bh", p: str = "p", alpha: float
         harmonic = F.sum(1.0 / i).over(every)
         rows = rows.withColumn("__h", harmonic)
         out = cap(F.min(q * m / i * F.col("__h")).over(behind))
-    elif method == "tsbh":
+    elif method in ("tsbh", "tsbky"):
+        # two stages: the second knows from the first how many hypotheses are true at most
+        factor = 1 + alpha if method == "tsbky" else 1.0
         rows = rows.withColumn("__bh", cap(F.min(q * m / i).over(behind)))
-        rows = rows.withColumn("__r", F.sum((F.col("__bh") <= alpha / (1 + alpha)).cast("int")).over(every))
-        out = F.when(F.col("__r") == m, F.col("__bh")).otherwise(cap(F.col("__bh") * (m - F.col("__r")) / m * (1 + alpha)))
+        rows = rows.withColumn("__r", F.sum((F.col("__bh") <= alpha / factor).cast("int")).over(every))
+        left = F.when(F.col("__r") == m, m).otherwise(m - F.col("__r"))
+        out = cap(F.col("__bh") * left / m * factor)
     elif method == "hommel":
         kind = StructType(list(results.schema.fields))
         out_kind = StructType([f for f in kind.fields if f.name != "p_corrected"]).add("p_corrected", "double")

@@ -175,16 +175,16 @@ def with_factors(ft: DataFrame, factors: DataFrame, names: list[str]) -> DataFra
 
 
 def estimator(name: str, **kw):
-    """A model by name, for columns features and y."""
+    """A model by name, for columns features and y. Extremely random trees and stochastic gradients, which Spark lacks, are refused."""
     common = {"featuresCol": "features", "labelCol": "y", "predictionCol": "prediction"}
     linear = lambda **p: R.LinearRegression(**common, **(p | kw))
     logit = lambda **p: C.LogisticRegression(**common, **(p | kw))
     zoo = {
         "linear": lambda: linear(), "ridge": lambda: linear(**({"regParam": 1.0} | kw)), "lasso": lambda: linear(regParam=0.01, elasticNetParam=1.0), "elasticnet": lambda: linear(regParam=0.01, elasticNetParam=0.5),
-        "sgd": lambda: linear(solver="l-bfgs"), "rfr": lambda: R.RandomForestRegressor(**common, seed=42, **kw), "extratrees": lambda: R.RandomForestRegressor(**common, seed=42, subsamplingRate=1.0, **kw),
+        "rfr": lambda: R.RandomForestRegressor(**common, seed=42, **kw),
         "gbr": lambda: R.GBTRegressor(**common, seed=42, **kw), "huber": lambda: linear(loss="huber"), "glm": lambda: R.GeneralizedLinearRegression(**common, **kw),
         "lr": lambda: logit(regParam=0.01), "lr1": lambda: logit(regParam=0.01, elasticNetParam=1.0), "lrnone": lambda: logit(regParam=0.0), "linear-svc": lambda: C.LinearSVC(**common, **kw),
-        "rfc": lambda: C.RandomForestClassifier(**common, seed=42, **kw), "etc": lambda: C.RandomForestClassifier(**common, seed=42, subsamplingRate=1.0, **kw), "gbc": lambda: C.GBTClassifier(**common, seed=42, **kw),
+        "rfc": lambda: C.RandomForestClassifier(**common, seed=42, **kw), "gbc": lambda: C.GBTClassifier(**common, seed=42, **kw),
         "mnb": lambda: C.NaiveBayes(**common, modelType="multinomial", **kw), "gnb": lambda: C.NaiveBayes(**common, modelType="gaussian", **kw), "bnb": lambda: C.NaiveBayes(**common, modelType="bernoulli", **kw),
         "mlp": lambda: C.MultilayerPerceptronClassifier(**common, seed=42, **kw), "ovr": lambda: C.OneVsRest(classifier=C.LogisticRegression(**common), **common),
     }

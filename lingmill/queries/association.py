@@ -225,13 +225,18 @@ CORRECTIONS = {
     "bh": "least(1, min(p * m / i) OVER (PARTITION BY outcome ORDER BY i DESC))",
     "by": "least(1, min(p * m / i) OVER (PARTITION BY outcome ORDER BY i DESC) * (sum(1 / i) OVER (PARTITION BY outcome)))",
     "simes": "least(1, p * m / i)",
-    "tsbh": None,
     "hommel": None,
 }
 
 
+def _two_stages(factor: float) -> str:
+    """The second stage counts the hypotheses that the first left."""
+    return f"""{P_SQL}, b AS (SELECT *, {CORRECTIONS['bh']} AS bh FROM k), c AS (SELECT *, sum(CAST(bh <= 0.05 / {factor} AS INTEGER)) OVER (PARTITION BY outcome) AS r FROM b)
+    SELECT outcome, feat, round(least(1, bh * CASE WHEN r = m THEN m ELSE m - r END / m * {factor}), 9) AS p_corrected FROM c"""
+
+
 def _correction(method: str, sql: str | None) -> None:
-    @query(f"a15_{method.replace('-', '_')}", f"{P_SQL} SELECT outcome, feat, round({sql}, 9) AS p_corrected FROM k" if sql else None)
+    @query(f"a15_{method.replace('-', '_')}", sql)
     def a15(spark, sf):
         p = (F.col("c_acctbal").cast("double") + 1000) / 1e6 * (F.col("c_custkey") % 7 + 1) / 7
         rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("outcome"), F.col("c_custkey").cast("string").alias("feat"), p.alias("p"))
@@ -239,7 +244,9 @@ def _correction(method: str, sql: str | None) -> None:
 
 
 for _m, _s in CORRECTIONS.items():
-    _correction(_m, _s)
+    _correction(_m, f"{P_SQL} SELECT outcome, feat, round({_s}, 9) AS p_corrected FROM k" if _s else None)
+_correction("tsbh", _two_stages(1.0))
+_correction("tsbky", _two_stages(1.05))
 
 
 @query("r14_correlation_filter")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lingmill.operators import features as G
 from lingmill.operators import kernel as K
+from lingmill.operators import predict as P
 from lingmill.queries.base import features_sql, query, scratch, table, words
+from lingmill.sources import results as RS
 from lingmill.sources import tables as S
 
 
@@ -162,3 +164,66 @@ def s10(spark, sf):
 def s12(spark, sf):
     top = table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.max("c_custkey").alias("k"))
     return S.dense_table(top, "c_mktsegment", "c_nationkey", "k", ["1", "2"])
+
+
+# ---- sinks of results ------------------------------------------------------------------------------------------------
+
+PREDICTED_SQL = "p AS (SELECT c_custkey AS group_id, 'balance' AS outcome, CAST(c_acctbal AS DOUBLE) AS y, CAST(c_nationkey * 100 AS DOUBLE) AS prediction FROM customer)"
+
+
+def _balances(spark, sf):
+    """Customers' balances, and a prediction that both engines can make."""
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("group_id"), F.lit("balance").alias("outcome"), F.col("c_acctbal").cast("double").alias("y"), (F.col("c_nationkey") * 100).cast("double").alias("prediction"))
+
+
+@query("s14_scores", "SELECT c_mktsegment AS outcome, round(corr(CAST(c_acctbal AS DOUBLE), c_nationkey * 100), 5) AS pearson, round(avg(abs(c_acctbal - c_nationkey * 100)), 3) AS mae, count(*) AS n FROM customer GROUP BY 1")
+def s14(spark, sf):
+    path = scratch(spark, "scores")
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    RS.write_scores(P.regression_metrics(_balances(spark, sf).join(c, F.col("group_id") == F.col("c_custkey")).withColumn("outcome", F.col("c_mktsegment"))), path)
+    back = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return back.select("outcome", F.round("pearson", 5).alias("pearson"), F.round("mae", 3).alias("mae"), F.col("n").cast("long").alias("n"))
+
+
+@query("s14_predictions", f"WITH {PREDICTED_SQL} SELECT group_id, y AS balance_true, prediction AS \"balance|all|true\", prediction / 2 AS \"balance|none|false\" FROM p")
+def s14b(spark, sf):
+    path = scratch(spark, "predictions")
+    p = _balances(spark, sf).withColumns({"controls": F.lit("all"), "with_language": F.lit(True)})
+    both = p.unionByName(p.withColumns({"controls": F.lit("none"), "with_language": F.lit(False), "prediction": F.col("prediction") / 2}))
+    RS.write_predictions(both, ["balance"], path)
+    return spark.read.schema('group_id long, balance_true double, `balance|all|true` double, `balance|none|false` double').option("header", True).csv(path)
+
+
+@query("s14_probabilities", "SELECT doc_id AS group_id, k AS class, CASE WHEN (k = 'toxic') = (toxic = 1) THEN 0.75 ELSE 0.25 END::DOUBLE AS probability FROM labels, (VALUES ('clean'), ('toxic')) t(k) WHERE toxic IS NOT NULL")
+def s14c(spark, sf):
+    path = scratch(spark, "probabilities")
+    rows = table(spark, sf, "labels").where("toxic IS NOT NULL").select(F.col("doc_id").alias("group_id"), F.when(F.col("toxic") == 1, F.array(F.lit(0.25), F.lit(0.75))).otherwise(F.array(F.lit(0.75), F.lit(0.25))).alias("probability"))
+    RS.write_probabilities(rows, ["clean", "toxic"], path)
+    return spark.read.schema("group_id long, class string, probability double").option("header", True).csv(path)
+
+
+@query("s16_outcome_table", "SELECT doc_id, quality, toxic FROM labels")
+def s16(spark, sf):
+    path = scratch(spark, "outcomes")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    RS.create_outcome_table(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), f"{name}.labels")
+    return spark.table(f"{name}.labels")
+
+
+@query(
+    "s19_messages_with_predictions",
+    "WITH f AS (SELECT source AS group_id, avg(n_chars) AS y, count(*) * 100.0::DOUBLE AS prediction FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 5) SELECT group_id, round(y, 6) AS y, prediction, doc_id AS message_id, text AS message FROM f JOIN documents ON source = group_id QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY doc_id) <= 3",
+)
+def s19(spark, sf):
+    d = table(spark, sf, "documents")
+    p = d.where("source IS NOT NULL").groupBy(F.col("source").alias("group_id")).agg(F.avg("n_chars").alias("y"), (F.count("*") * 100.0).alias("prediction"))
+    return RS.messages_with_predictions(p, d, "source", "doc_id", "text", 5, 3).withColumn("y", F.round("y", 6))
+
+
+@query("s13_html", f"SELECT '<tr><td>' || replace(replace(replace(feat, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td><td>' || CAST(value AS VARCHAR) || '</td></tr>' AS line FROM {features_sql(1, 'role', source='conversations')}")
+def s13h(spark, sf):
+    path = scratch(spark, "html")
+    RS.write_html(words(spark, sf, "role", "conversations"), ["feat", "value"], path)
+    return spark.read.text(path).where("value LIKE '<tr><td>%'").withColumnRenamed("value", "line")

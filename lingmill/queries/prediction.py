@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lingmill.functions.tokenize import tokenize
+from lingmill.operators import multitable as MT
 from lingmill.operators import outcomes as O
 from lingmill.operators import predict as P
 from lingmill.operators import reduce as D
-from lingmill.queries.base import query, table, tokens_sql, words
+from lingmill.queries.base import query, scratch, table, tokens_sql, words
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 FEATS = ["the", "of", "and", "to", "in", "de", "la", "der"]
@@ -116,6 +117,25 @@ def p2(spark, sf):
     return P.predicted(rows, P.trained(rows, "lr", "top5", classes=True))
 
 
+@query("p2_several_tables")
+def p2b(spark, sf):
+    """1-grams and 2-grams side by side, each chosen, scaled and rotated on the training folds."""
+    y = O.folds(O.long_outcomes(table(spark, sf, "labels"), "doc_id", ["quality"]), 3)
+    tables = []
+    for n in (1, 2):  # stored, as every fold reads them again
+        path = scratch(spark, f"{n}grams")
+        words(spark, sf, "doc_id", n=n).write.parquet(path)
+        tables.append(spark.read.parquet(path))
+    return MT.n_fold(tables, y, "magic_sauce", "ridgecv")
+
+
+@query("p5_chosen_features")
+def p5(spark, sf):
+    y = O.long_outcomes(table(spark, sf, "labels"), "doc_id", ["quality"])
+    feats = MT.chosen_features(words(spark, sf, "doc_id"), y, MT.PRESETS["magic_sauce"])
+    return spark.createDataFrame([(f,) for f in feats], "feat string")
+
+
 @query("p3_ridge_cross_validated")
 def p3(spark, sf):
     return P.cross_validated(_rows(spark, sf), 3, 2)
