@@ -28,7 +28,7 @@ def matrix(ft: DataFrame, feats: list[str], column: str = "group_norm", groups:
 
 
 def moments(rows: DataFrame, columns: list[str], by: str | None = None) -> dict:
-    """{key: (n, sums, products)} of the arrays in columns, one after another; tasks sum their rows in numpy, and each row of a key's matrix is summed over the tasks by one group."""
+    """{key: (n, sums, products)} of the arrays in columns, one after another; tasks sum their rows in numpy, and blocks of 64 rows of a key's matrix are summed over the tasks."""
     key = F.col(by).cast("string") if by else F.lit("")
     picked = rows.select(key.alias("k"), F.concat(*[F.col(c) for c in columns]).alias("x"))
 
@@ -43,14 +43,19 @@ def moments(rows: DataFrame, columns: list[str], by: str | None = None) -> dict:
                 h[2] = h[2] + m.T @ m
         for k, (n, s, p) in held.items():
             table = np.vstack([np.concatenate([[n], s]), np.column_stack([np.zeros(len(s)), p])])
-            yield pd.DataFrame({"k": k, "i": np.arange(len(table)), "row": table.tolist()})
+            i = np.arange(len(table))
+            yield pd.DataFrame({"k": k, "b": i // 64, "i": i, "row": list(table)})
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "i": [pdf["i"].iloc[0]], "row": [np.sum(pdf["row"].tolist(), axis=0).tolist()]})
+        i = pdf["i"].to_numpy()
+        order = np.argsort(i, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(i[order]) > 0]))
+        rows = np.add.reduceat(np.stack(pdf["row"].to_numpy())[order], first, axis=0)
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "i": i[order][first], "row": list(rows)})
 
-    parts = picked.mapInPandas(partial, "k string, i long, row array<double>")
+    parts = picked.mapInPandas(partial, "k string, b long, i long, row array<double>")
     found: dict[str, list] = {}
-    for r in parts.groupBy("k", "i").applyInPandas(added, "k string, i long, row array<double>").toLocalIterator():
+    for r in parts.groupBy("k", "b").applyInPandas(added, "k string, i long, row array<double>").toLocalIterator():
         found.setdefault(r["k"], []).append((r["i"], r["row"]))
     out = {}
     for k, rows_ in found.items():
