@@ -564,39 +564,74 @@ def mediation(ft: DataFrame, analysis: DataFrame, mediators: DataFrame, mediator
     return s.withColumn("sobel", z).withColumn("share", 1 - cp / F.when(F.abs(c) > TINY, c)).withColumn("p", p_of_z("sobel")).select("outcome", "feat", "c", "c_prime", "alpha", "beta", "sobel", "p", "share", "n")
 
 
+def _poisson(keys: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Row i: how often the group of key i is in each sample, by a hash of the two: wherever its rows are, they agree. First a column of ones."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, samples + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    return np.concatenate([np.ones((len(keys), 1)), np.searchsorted(chances, u).astype(float)], axis=1)
+
+
 def mediation_bootstrap(ft: DataFrame, analysis: DataFrame, mediators: DataFrame, mediator: str, samples: int = 1000, seed: int = 42) -> DataFrame:
     """(outcome, feat, effect, lo, hi, p): the indirect effect with a bootstrap interval of the groups.
 
-    A task holds one feature's stored rows, and the groups without it as moments of their own: a resample draws how
-    many of them it has and their mean and spread from the groups' zero block, whose x is 0 for all. The block's own
-    (m, y) pairs are sent once by outcome.
+    A group is in a sample a Poisson number of times, by a hash of both. An effect needs weighted sums alone: those of
+    mediator and outcome are made once an outcome, those with a feature from its stored rows, as zeros add nothing.
     """
     m = mediators.where(F.col(mediator).isNotNull()).select("group_id", F.col(mediator).cast("double").alias("m"))
-    base = analysis.join(m, "group_id").select("outcome", "group_id", F.col("y").cast("double").alias("y"), "m")
-    every = base.join(ft.select("feat").distinct(), F.lit(True)).join(ft.select("group_id", "feat", F.col("group_norm").cast("double").alias("x")), ["group_id", "feat"], "left")
+    base = analysis.join(m, "group_id").select("outcome", "group_id", F.xxhash64("group_id").alias("key"), F.col("y").cast("double").alias("y"), "m")
+    chunk = 1 << 11
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for at in range(0, len(pdf), chunk):
+                for outcome, part in pdf.iloc[at : at + chunk].groupby("outcome"):
+                    y, v = part["y"].to_numpy(), part["m"].to_numpy()
+                    held[outcome] = held.get(outcome, 0) + np.stack([np.ones(len(y)), v, y, v * v, y * y, v * y]) @ _poisson(part["key"].to_numpy(), samples, seed)
+        for outcome, sums in held.items():
+            yield pd.DataFrame({"outcome": [outcome], "sums": [sums.ravel()]})
+
+    whole: dict[str, np.ndarray] = {}
+    for r in base.select("outcome", "key", "y", "m").mapInPandas(summed, "outcome string, sums array<double>").toLocalIterator():  # 6 numbers a sample, outcome and task
+        whole[r["outcome"]] = whole.get(r["outcome"], 0) + np.array(r["sums"]).reshape(6, -1)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf[["x", "m", "y"]].fillna(0.0).sort_values(["x", "m", "y"]).to_numpy(float)
-        rng = np.random.default_rng(seed)
-
-        def effect(w: np.ndarray) -> float:
-            c = np.cov(d.T, aweights=w, bias=True) if w.sum() else np.zeros((3, 3))
-            sd = np.sqrt(np.diag(c))
-            if (sd < TINY).any():
-                return np.nan
-            r = c / np.outer(sd, sd)
-            det = 1 - r[0, 1] ** 2
-            return r[0, 1] * (r[1, 2] - r[0, 1] * r[0, 2]) / det if det > 1e-12 else np.nan
-
-        n = len(d)
-        got = np.array([effect(rng.multinomial(n, np.full(n, 1 / n)).astype(float)) for _ in range(samples)])
-        got, e = got[~np.isnan(got)], effect(np.ones(n))
-        known = len(got) > 0 and not np.isnan(e)
-        p = min(1.0, 2 * min((got <= 0).mean(), (got >= 0).mean())) if known else None
-        lo, hi = np.quantile(got, [0.025, 0.975]) if known else (None, None)
-        return pd.DataFrame({"outcome": [pdf["outcome"].iloc[0]], "feat": [pdf["feat"].iloc[0]], "effect": [e if known else None], "lo": [lo], "hi": [hi], "p": [p]})
-
-    return every.select("outcome", "feat", "x", "m", "y").groupBy("outcome", "feat").applyInPandas(test, "outcome string, feat string, effect double, lo double, hi double, p double")
+        begin = _runs(pdf)
+        head, number = pdf.iloc[begin], np.zeros(len(pdf), np.int64)
+        number[begin[1:]] = 1
+        number = np.cumsum(number)
+        x, v, y, keys = (pdf[c].to_numpy() for c in ("x", "m", "y", "key"))
+        sums = np.zeros((4, len(begin), samples + 1))
+        for at in range(0, len(pdf), chunk):
+            part = slice(at, at + chunk)
+            w, own = _poisson(keys[part], samples, seed), number[part]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            for i, c in enumerate((x, x * x, x * v, x * y)):
+                sums[i, own[first]] += np.add.reduceat(w * c[part, None], first, axis=0)
+        n, sm, sy, smm, syy, smy = np.stack([whole[o] for o in head["outcome"]], axis=1)
+        with np.errstate(all="ignore"):
+            cov = lambda ab, a, b: ab / n - a / n * (b / n)
+            vx, vm, vy = cov(sums[1], sums[0], sums[0]), cov(smm, sm, sm), cov(syy, sy, sy)
+            sure = (n > 0) & (vx > TINY**2) & (vm > TINY**2) & (vy > TINY**2)
+            xm, xy, my = cov(sums[2], sums[0], sm) / np.sqrt(vx * vm), cov(sums[3], sums[0], sy) / np.sqrt(vx * vy), cov(smy, sm, sy) / np.sqrt(vm * vy)
+            det = 1 - xm * xm
+            effects = np.where(sure & (det > 1e-12), xm * (my - xm * xy) / det, np.nan)
+        rows = []
+        for e, got in zip(effects[:, 0], effects[:, 1:]):
+            got = got[~np.isnan(got)]
+            if np.isnan(e) or not len(got):
+                rows.append((None, None, None, None))
+            else:
+                rows.append((e, *np.quantile(got, [0.025, 0.975]), min(1.0, 2 * min((got <= 0).mean(), (got >= 0).mean()))))
+        out = pd.DataFrame(rows, columns=["effect", "lo", "hi", "p"], dtype=object)
+        return pd.concat([head[["outcome", "feat"]].reset_index(drop=True), out], axis=1)
+
+    rows = base.join(ft.select("group_id", "feat", F.col("group_norm").cast("double").alias("x")), "group_id").select("outcome", "feat", "key", "x", "m", "y")
+    return _by_feature(rows, test, "outcome string, feat string, effect double, lo double, hi double, p double")
 
 
 # ---- canonical correlation -------------------------------------------------------------------------------------------
