@@ -309,11 +309,15 @@ def a21(spark, sf):
     return _rounded(A.differential(half(0), half(1)).drop("r_0", "r_1"), "dr", "p", digits=6)
 
 
-@query("a21_agreement")
+@query(
+    "a21_agreement",
+    f"""WITH {CFT}, {CY}, {CX}, s AS (SELECT outcome, feat, round(corr(x, y) FILTER (group_id % 2 = 0), 9) AS r_0, round(corr(x, y) FILTER (group_id % 2 = 1), 9) AS r_1 FROM x GROUP BY 1, 2),
+    k AS (SELECT *, {RANK.format('outcome', 'r_0')} AS k0, {RANK.format('outcome', 'r_1')} AS k1 FROM s) SELECT outcome, round(corr(r_0, r_1), 5) AS pearson, round(corr(k0, k1), 5) AS spearman, count(*) AS n FROM k GROUP BY 1""",
+)
 def a21b(spark, sf):
     ft, y, _ = customers(spark, sf)
-    half = lambda k: A.pearson(ft, y.where(F.col("group_id") % 2 == k), with_p=False)
-    return A.agreement(half(0), half(1))
+    half = lambda k: _rounded(A.pearson(ft, y.where(F.col("group_id") % 2 == k), with_p=False), "r", digits=9)
+    return _rounded(A.agreement(half(0), half(1)), "pearson", "spearman")
 
 
 @query("a22_interaction_by_strata")

@@ -98,9 +98,18 @@ def f12(spark, sf):
     return E.add_embeddings(table(spark, sf, "embeddings"), "label").withColumns({c: F.round(c, 6) for c in ("value", "group_norm")})
 
 
-@query("f13_readability")
+def _readability_sql() -> str:
+    from lingmill.functions import text as X
+    from lingmill.queries.texts import GRADE_SQL, URL_SQL
+
+    plain = f"(SELECT doc_id, replace(replace(regexp_replace(regexp_replace(text, '{X.XML_TAG}', ' ', 'g'), {URL_SQL}, ' ', 'g'), '..', '.'), '..', '.') AS text FROM documents)"
+    grades = GRADE_SQL.replace("FROM documents", f"FROM {plain}").replace(", 6) AS grade", ", 12) AS grade")
+    return f"SELECT source AS group_id, 'm_fk_score' AS feat, round(avg(grade), 5) AS value, round(avg(grade), 5) AS group_norm FROM ({grades}) JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1"
+
+
+@query("f13_readability", _readability_sql())
 def f13(spark, sf):
-    return E.add_readability(table(spark, sf, "documents"), **DOCS)
+    return E.add_readability(table(spark, sf, "documents"), **DOCS).withColumns({c: F.round(c, 5) for c in ("value", "group_norm")})
 
 
 @query("f14_concepts")
