@@ -5,14 +5,18 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A value is broadcast only below this many bytes; every caller has another way above it.
 BROADCAST_LIMIT = 64 << 20
+#: Rows that a worker keeps go back to the JVM in pieces of about so many bytes, as it holds each outside its heap.
+PIECE_BYTES = 1 << 20
 
 
 @cache
@@ -43,6 +47,18 @@ def trim() -> None:
         pass
 
 
+def sifted(batches: Iterator[pa.RecordBatch], keep: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows that keep() marks, in pieces of about PIECE_BYTES; memory is given back after each batch and at the end."""
+    for batch in batches:
+        marked = keep(batch)
+        rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows).filter(pa.array(marked[at : at + rows]))
+        del batch, marked
+        trim()
+    trim()  # whoever made the last batch has let go of it only now
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

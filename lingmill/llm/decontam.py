@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lingmill.llm.common import sifted
 from lingmill.llm.textvec import codepoints, slices
 
 WINDOW = 8
@@ -213,11 +214,14 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, columns=("text",
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             a = automaton(shared)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
+
+            def keep(batch: pa.RecordBatch) -> np.ndarray:
+                kept = np.ones(batch.num_rows, bool)
                 for row, *_ in scan(batch.column(at), a):
-                    keep[row] = False
-                yield batch.filter(pa.array(keep))
+                    kept[row] = False
+                return kept
+
+            return sifted(batches, keep)
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

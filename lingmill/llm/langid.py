@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingmill.llm.common import trim
+from lingmill.llm.common import sifted, trim
 from lingmill.llm.textvec import codepoints, lowered, mix, slices, word_mask
 
 ORDERS = (1, 2, 3)
@@ -197,8 +197,6 @@ def keep_identified(docs: DataFrame, model: Model, text="text") -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array(classify(batch.column(at), m)[2]))
-            trim()
+        return sifted(batches, lambda batch: classify(batch.column(at), m)[2])
 
     return docs.mapInArrow(kept, docs.schema)

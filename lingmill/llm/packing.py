@@ -92,7 +92,9 @@ def intervals(packs: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int
 
 
 def word_count(text: str | Column) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"\S+")), F.lit(0)).cast("long")
+    """Runs of other characters than white space; regexp_count would make a string of each and an array of all."""
+    marks = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"\S++", "x")
+    return F.coalesce(F.length(F.regexp_replace(marks, r"\s++", "")), F.lit(0)).cast("long")
 
 
 def pack(docs: DataFrame, length: Column | None = None, id_column="doc_id", text="text", capacity=CAPACITY, buckets=BUCKETS) -> DataFrame:

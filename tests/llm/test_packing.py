@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 from hypothesis import given, settings
@@ -78,3 +79,10 @@ def test_ties_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame([(i, "a b c") for i in range(50)], "doc_id long, text string")
     one, two = (sorted(map(tuple, packing.pack(docs.repartition(n), capacity=7, buckets=5).collect())) for n in (1, 4))
     assert one == two
+
+
+def test_word_counts_make_no_strings(spark):
+    odd = [None, "", " ", "\n\t", "a", " a", "a ", "x  xx\r\nx\x0b\x0cy", "a b c d", "\U0001f600 \U0001f600́", "$1 \\1 \\", "w" * 70_000 + " " * 70_000 + "w"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "i long, text string").select("i", packing.word_count("text").alias("n"))
+    assert dict(map(tuple, docs.collect())) == {i: len(re.findall(r"[^ \t\n\x0b\f\r]+", x or "")) for i, x in enumerate(odd)}
+    assert "regexp_extract_all" not in docs._jdf.queryExecution().optimizedPlan().toString()

@@ -1,5 +1,7 @@
+import pyarrow as pa
+
 import corpus_pipeline as P
-from lingmill.llm import decontam, langid, ngram_join
+from lingmill.llm import common, decontam, langid, ngram_join
 from lingmill.llm.common import table
 from tests.llm.test_decontam import brute_force as leaks
 from tests.llm.test_ngram_join import brute_force as near
@@ -74,3 +76,24 @@ def test_empty_table(spark):
 def test_decontamination_keeps_everything_without_a_benchmark(spark):
     docs = table(spark, SF, "documents")
     assert decontam.without_contaminated(docs, table(spark, SF, "benchmark").limit(0)).count() == docs.count()
+
+
+def test_workers_return_small_pieces_and_give_memory_back(spark, monkeypatch):
+    docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    model, rows = langid.fit(docs), docs.toArrow()
+    odd = rows.slice(0, 1).set_column(rows.schema.get_field_index("text"), rows.schema.field("text"), pa.array(["123"], rows.schema.field("text").type))
+    batch = pa.concat_tables([rows, odd] * 16).combine_chunks().to_batches()[0]
+    stages, given_back = [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: stages.append(f) or self)
+    monkeypatch.setattr(common, "trim", lambda: given_back.append(1))
+    langid.keep_identified(docs, model)
+    decontam.without_contaminated(docs, bench)
+    for stage in stages:
+        given_back.clear()
+        pieces = list(stage(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+        assert batch.nbytes > 6 << 20 and max(p.nbytes for p in pieces) < 2 << 20 and len(given_back) == 4  # each batch, and the end
+        assert all(p.schema == batch.schema for p in pieces)
+        one = [p for i in range(batch.num_rows // 16) for p in stage(iter([batch.slice(i, 1)]))]
+        once, first = pa.Table.from_batches(one), pa.Table.from_batches(list(stage(iter([batch.slice(0, 1)]))), batch.schema)
+        assert pa.Table.from_batches(pieces).equals(pa.concat_tables([once] * 16 + [first])) and 0 < once.num_rows < batch.num_rows // 16
+    assert len(stages) == 2 and list(stages[0](iter([]))) == []
