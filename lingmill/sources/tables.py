@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What stands for null in CSV, beside cells that are empty without quotes ("" is the empty text): no characters that texts may have.
+NULL = "\ufdd0null\ufdd0"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",") -> DataFrame:
     """With a header; types are inferred in one more pass unless a schema is given."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("nullValue", NULL)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """All values quoted, one file a partition."""
-    df.write.mode("append" if append else "overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """All values quoted with the white space at their ends (nulls as NULL), one file a partition."""
+    writer = df.write.mode("append" if append else "overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("nullValue", NULL).csv(path)
 
 
 def read_database(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, partitions: int = 1, **options: str) -> DataFrame:

@@ -261,3 +261,12 @@ def test_mediation_query_covers_all_features_with_all_samples(spark, monkeypatch
     got = QUERIES["a24_mediation_bootstrap"](spark, "/root/testdata/sf0.001").collect()
     assert len(got) == len({(r["outcome"], r["feat"]) for r in got}) == 10
     assert asked[0].arguments.get("samples", 1000) == signature.parameters["samples"].default
+
+
+def test_csv_gives_back_every_text(spark, tmp_path):
+    texts = ["plain", " lead", "trail ", "\ttab\t", "a\rb", "a\r\nb", "\n", "", None, '"', 'say "x"', "\\", "a,b", "  ", "end\r", "end\n", "\x00", "null"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    T.write_csv(df, str(tmp_path / "t"))
+    assert by(T.read_csv(spark, str(tmp_path / "t"), "k int, text string"), "k", value="text") == dict(enumerate(texts))
+    (tmp_path / "u.csv").write_text('k,text\n1,\n2,""\n')
+    assert by(T.read_csv(spark, str(tmp_path / "u.csv"), "k int, text string"), "k", value="text") == {1: None, 2: ""}
