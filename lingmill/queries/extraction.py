@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lingmill.functions.tokenize import tokenize
 from lingmill.operators import extract as E
-from lingmill.queries.base import features_sql, grams_sql, query, table, tokens_sql
+from lingmill.queries.base import features_sql, grams_sql, query, stored, table, tokens_sql
 
 DOCS = {"group": "source", "message_id": "doc_id", "message": "text"}
 
@@ -89,7 +89,7 @@ SELECT group_id, feat, value, value / total AS group_norm FROM k JOIN tot USING
 @query("f11_names", NAMES_SQL)
 def f11(spark, sf):
     docs = table(spark, sf, "documents")
-    words = E.token_rows(docs, "source", "doc_id", "text").select(F.explode("tokens").alias("term")).distinct()
+    words = stored(E.token_rows(docs, "source", "doc_id", "text").select(F.explode("tokens").alias("term")).distinct())
     return E.add_names(docs, words.where(F.length("term") == 6), words.where(F.length("term") == 8), words.where(F.col("term").startswith("t")), **DOCS)
 
 
