@@ -30,7 +30,10 @@ def categories_of(feats: DataFrame, lexicon: DataFrame) -> DataFrame:
     wild = F.col("term").endswith("*")
     exact = words.join(lexicon.where(~wild), "term").select("feat", "category", "weight")
     patterns = lexicon.where(wild & (F.length("term") >= 4)).select(F.expr("substring(term, 1, length(term) - 1)").alias("prefix"), "category", "weight")
-    prefixes = words.where(F.length("term") >= 3).select("feat", F.explode(F.transform(F.sequence(F.lit(3), F.length("term")), lambda i: F.substring("term", F.lit(1), i))).alias("prefix"))
+    # only prefixes as long as some pattern's
+    lengths = patterns.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    some = F.filter("lengths", lambda k: k <= F.length("term"))
+    prefixes = words.where(F.length("term") >= 3).crossJoin(F.broadcast(lengths)).select("feat", F.explode(F.transform(some, lambda k: F.substring("term", F.lit(1), k))).alias("prefix"))
     matched = exact.unionByName(prefixes.join(patterns, "prefix").select("feat", "category", "weight"))
     return matched.groupBy("feat", "category").agg(F.max("weight").alias("weight"))
 

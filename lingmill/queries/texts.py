@@ -11,7 +11,7 @@ from lingmill.functions import transforms as V
 from lingmill.functions.tokenize import TOKEN, tokenize
 from lingmill.operators import messages as M
 from lingmill.operators.lexicon import categories_of
-from lingmill.queries.base import SHRUNK, SHRUNK_ONCE, query, quoted, table, tokens_sql
+from lingmill.queries.base import SHRUNK, SHRUNK_ONCE, query, stored, quoted, table, tokens_sql
 
 
 @query("t1_newlines", rf"SELECT doc_id, {SHRUNK_ONCE.format('text')} AS text FROM documents")
@@ -121,7 +121,7 @@ def t15(spark, sf):
     SELECT word, count(*) AS patterns FROM w JOIN p ON starts_with(lower(word), prefix) WHERE length(prefix) >= 3 AND NOT contains(prefix, '*') GROUP BY word""",
 )
 def t16(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(tokenize(F.col("text"))).alias("feat")).distinct()
+    words = stored(table(spark, sf, "documents").select(F.explode(tokenize(F.col("text"))).alias("feat")).distinct())
     parts = table(spark, sf, "part").select(F.lower(F.substring("p_type", 1, 4)).alias("prefix"))
     prefixes = parts.unionByName(words.where(F.length("feat") >= 9).select(F.lower(F.substring("feat", 1, 4)).alias("prefix"))).where(~F.col("prefix").contains("*")).distinct()
     lexicon = prefixes.select(F.concat("prefix", F.lit("*")).alias("term"), F.col("prefix").alias("category"), F.lit(1.0).alias("weight"))
