@@ -270,3 +270,22 @@ def test_csv_gives_back_every_text(spark, tmp_path):
     assert by(T.read_csv(spark, str(tmp_path / "t"), "k int, text string"), "k", value="text") == dict(enumerate(texts))
     (tmp_path / "u.csv").write_text('k,text\n1,\n2,""\n')
     assert by(T.read_csv(spark, str(tmp_path / "u.csv"), "k int, text string"), "k", value="text") == {1: None, 2: ""}
+
+
+def test_names_of_tokens_that_are_cut_or_have_spaces(spark):
+    from lingmill.operators import extract as E
+
+    m = spark.createDataFrame([("g", 1, "anna b smith"), ("g", 2, "anna " + "x" * 80 + " smith"), ("g", 3, "anna smith anna")], "user_id string, message_id long, message string")
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    ft = E.add_names(m, terms("Anna"), terms("Smith", "x" * 65), terms("the"))
+    assert by(ft, "feat", value="value") == {"anna b smith": 1, "anna smith": 1, "anna " + "x" * 65: 1, "anna " + "x" * 80 + " smith": 1}  # two words keep 70 characters, three 102
+    plan = ft._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+def test_pmi_cuts_each_feature_once(spark):
+    ft = table(spark, [("g", "a b", 2, 0.5), ("h", "a b", 1, 0.5), ("g", "c", 1, 0.5)])
+    words = table(spark, [("g", "a", 3, 0.5), ("g", "b", 3, 0.5), ("g", "c", 100, 0.5)])
+    out = R.pmi_filter(ft, words, 3.0)
+    assert sorted(by(out, "group_id", "feat", value="value")) == [("g", "a b"), ("g", "c"), ("h", "a b")]
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
